@@ -18,7 +18,7 @@ from riskgraph.functions.expressions import (
     nan_to_null,
     numeric_columns,
 )
-from riskgraph.operators.keys import with_txn_key
+from riskgraph.operators.keys import with_row_key
 from riskgraph.operators.quantiles import exact_quantiles
 
 # Thresholds and defaults of the feature definitions.
@@ -35,6 +35,10 @@ RAPID_HOURS = 1
 REPEAT_HOURS = 24
 EXTREME_QUANTILE = 0.99
 
+UNDATED = -(2**62)
+CUSTOMER_GAP = ["cust_id"]
+PRODUCT_GAP = ["product_code", "cust_id"]
+
 # The feature catalogue.
 FEATURE_NAMES = [
     "effective_price", "total_price", "price_deviation", "is_high_price", "is_low_price",
@@ -206,7 +210,14 @@ def product_features(df: DataFrame) -> DataFrame:
     return with_product_deviation(df.join(product_aggregates(df), "product_code", "left"))
 
 
-def purchase_moments(df: DataFrame, keys: Sequence[str], ts: str, row_key: str) -> DataFrame:
+def with_instant(df: DataFrame, ts: str = "trans_date") -> DataFrame:
+    """Microsecond instant of a line; lines without a date share one marker value."""
+    return df.withColumn("_at", F.coalesce(micros(F.col(ts)), F.lit(UNDATED)))
+
+
+def purchase_moments(
+    df: DataFrame, keys: Sequence[str], ts: str = "trans_date", row_key: str = "txn_key"
+) -> DataFrame:
     """Distinct instants per key with the instant before each of them.
 
     Tied lines share one instant; ``_carrier`` is the line that keeps the gap to the
@@ -214,20 +225,18 @@ def purchase_moments(df: DataFrame, keys: Sequence[str], ts: str, row_key: str)
     plus one row per key and day for the step across midnight, so a key with a third of
     all rows is spread over its days.
     """
-    at = micros(F.col(ts))
     moments = (
-        df.filter(F.col(ts).isNotNull())
-        .withColumn("_at", at)
+        with_instant(df, ts)
         .groupBy(*keys, "_at")
         .agg(F.min(row_key).alias("_carrier"))
         .withColumn("_day", F.floor(F.col("_at") / F.lit(MICROS_PER_DAY)))
     )
     inside = F.lag("_at").over(Window.partitionBy(*keys, "_day").orderBy("_at"))
-    previous_day = F.lag("_day_end").over(Window.partitionBy(*keys).orderBy("_day"))
+    day_before = F.lag("_day_end").over(Window.partitionBy(*keys).orderBy("_day"))
     days = (
         moments.groupBy(*keys, "_day")
         .agg(F.max("_at").alias("_day_end"))
-        .withColumn("_before_day", previous_day)
+        .withColumn("_before_day", F.nullif(day_before, F.lit(UNDATED)))
         .drop("_day_end")
     )
     return (
@@ -238,26 +247,27 @@ def purchase_moments(df: DataFrame, keys: Sequence[str], ts: str, row_key: str)
     )
 
 
-def with_purchase_gap(
-    df: DataFrame, keys: Sequence[str], name: str, ts: str = "trans_date", row_key: str = "txn_key"
-) -> DataFrame:
-    """Hours since the previous line of the same key; null without one."""
-    moments = purchase_moments(df, keys, ts, row_key)
+def gap_hours(row_key: str = "txn_key"):
+    """Gap of a line joined to its moment; null without a date or an earlier line."""
     hours = (F.col("_at") - F.col("_previous")) / F.lit(MICROS_PER_HOUR)
-    gap = F.when(F.col(row_key) == F.col("_carrier"), hours).when(
-        F.col("_carrier").isNotNull(), F.lit(0.0)
+    dated = F.col("_at") != UNDATED
+    return F.when(dated & (F.col(row_key) == F.col("_carrier")), hours).when(
+        dated & F.col("_carrier").isNotNull(), F.lit(0.0)
     )
+
+
+def join_moments(df: DataFrame, frame: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Attach a per-moment frame to its lines and compute the gap column ``name``."""
     return (
-        df.withColumn("_at", micros(F.col(ts)))
-        .join(moments, [*keys, "_at"], "left")
-        .withColumn(name, gap)
-        .drop("_at", "_carrier", "_previous")
+        df.join(frame, [*keys, "_at"], "left")
+        .withColumn(name, gap_hours())
+        .drop("_carrier", "_previous")
     )
 
 
-def customer_gap_features(df: DataFrame, ts: str = "trans_date") -> DataFrame:
+def customer_gap_flags(df: DataFrame) -> DataFrame:
     gap = F.col("time_since_last_trans")
-    return with_purchase_gap(df, ["cust_id"], "time_since_last_trans", ts).withColumns(
+    return df.withColumns(
         {
             "is_rapid_transaction": flag(gap < RAPID_HOURS),
             "time_since_last_trans": F.coalesce(gap, F.lit(NO_PREVIOUS_PURCHASE)),
@@ -265,18 +275,30 @@ def customer_gap_features(df: DataFrame, ts: str = "trans_date") -> DataFrame:
     )
 
 
-def product_gap_features(df: DataFrame, ts: str = "trans_date") -> DataFrame:
-    keys = ["product_code", "cust_id"]
-    filled = F.coalesce(F.col("same_product_time_gap"), F.lit(NO_PREVIOUS_PURCHASE))
-    return (
-        with_purchase_gap(df, keys, "same_product_time_gap", ts)
-        .withColumn("same_product_time_gap", filled)
-        .withColumn(
-            "is_repeated_product_purchase", flag(F.col("same_product_time_gap") < REPEAT_HOURS)
-        )
+def product_gap_flags(df: DataFrame) -> DataFrame:
+    gap = F.coalesce(F.col("same_product_time_gap"), F.lit(NO_PREVIOUS_PURCHASE))
+    return df.withColumns(
+        {
+            "same_product_time_gap": gap,
+            "is_repeated_product_purchase": flag(gap < REPEAT_HOURS),
+        }
     )
 
 
+def customer_gap_features(df: DataFrame, ts: str = "trans_date") -> DataFrame:
+    """Gap to the customer's previous line; needs a unique ``txn_key``."""
+    moments = purchase_moments(df, CUSTOMER_GAP, ts)
+    joined = join_moments(with_instant(df, ts), moments, CUSTOMER_GAP, "time_since_last_trans")
+    return customer_gap_flags(joined.drop("_at"))
+
+
+def product_gap_features(df: DataFrame, ts: str = "trans_date") -> DataFrame:
+    """Gap to the customer's previous line of the same product; needs ``txn_key``."""
+    moments = purchase_moments(df, PRODUCT_GAP, ts)
+    joined = join_moments(with_instant(df, ts), moments, PRODUCT_GAP, "same_product_time_gap")
+    return product_gap_flags(joined.drop("_at"))
+
+
 def extreme_value_flag(df: DataFrame, stats: PriceStats | None = None) -> DataFrame:
     stats = stats or price_stats(df)
     return df.withColumn(
@@ -300,19 +322,22 @@ def cleanup(df: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
     return kept.withColumns({c: clean(c) for c in numeric_columns(kept)})
 
 
-def engineer_features(df: DataFrame) -> DataFrame:
-    """All features, one output row per input row."""
+def engineer_features(df: DataFrame, key_columns: Sequence[str] | None = None) -> DataFrame:
+    """All features, one output row per input row.
+
+    ``key_columns`` names columns that identify a line; without them a key is built from
+    the whole row. Every aggregate is computed from the row features alone, and customer
+    and product figures travel with the purchase moments: fact rows are joined twice, on
+    keys much finer than a customer or a product.
+    """
     lines = nan_to_null(df)
     stats = price_stats(lines)
-    rows = lines if "txn_key" in df.columns else with_txn_key(lines)
-    return (
-        rows.transform(price_features, stats)
-        .transform(discount_features)
-        .transform(time_features)
-        .transform(extreme_value_flag, stats)
-        .transform(customer_features)
-        .transform(customer_gap_features)
-        .transform(product_features)
-        .transform(product_gap_features)
-        .transform(cleanup)
+    base = discount_features(price_features(with_row_key(lines, key_columns), stats))
+    customers = purchase_moments(base, CUSTOMER_GAP).join(customer_aggregates(base), "cust_id")
+    products = purchase_moments(base, PRODUCT_GAP).join(product_aggregates(base), "product_code")
+    rows = with_instant(extreme_value_flag(time_features(base), stats))
+    joined = join_moments(rows, customers, CUSTOMER_GAP, "time_since_last_trans")
+    joined = join_moments(joined, products, PRODUCT_GAP, "same_product_time_gap")
+    return cleanup(
+        product_gap_flags(customer_gap_flags(with_product_deviation(joined))), drop=["_at"]
     )

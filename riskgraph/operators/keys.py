@@ -38,6 +38,18 @@ def with_txn_key(df: DataFrame, name: str = "txn_key") -> DataFrame:
     )
 
 
+def with_row_key(
+    df: DataFrame, key_columns: Sequence[str] | None = None, name: str = "txn_key"
+) -> DataFrame:
+    """Key from identifying columns, a narrow step; from the whole row when none are named."""
+    if name in df.columns:
+        return df
+    if not key_columns:
+        return with_txn_key(df, name)
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in key_columns]
+    return df.withColumn(name, F.md5(F.concat_ws("|", *text)))
+
+
 def global_row_number(
     df: DataFrame, order: Sequence[Column], bucket: Column, name: str = "rn"
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskgraph.functions.expressions import comma_double, lenient_timestamp
 from riskgraph.operators import features as fe
 from riskgraph.operators import profile, v1
-from riskgraph.operators.keys import dense_ids, lookup_ids, with_txn_key
+from riskgraph.operators.keys import dense_ids, lookup_ids, with_row_key, with_txn_key
 from riskgraph.plans.catalog.base import (
     KEY_SQL,
     LINE_KEY,
@@ -501,7 +501,7 @@ def gap_cte(keys: str, name: str) -> str:
     ),
 )
 def f36(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fe.customer_gap_features(with_txn_key(lines(spark, sf_dir)))
+    out = fe.customer_gap_features(with_row_key(lines(spark, sf_dir), LINE_KEY))
     return out.select("cust_id", "trans_date", "time_since_last_trans")
 
 
@@ -513,7 +513,7 @@ def f36(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def f37(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fe.customer_gap_features(with_txn_key(lines(spark, sf_dir)))
+    out = fe.customer_gap_features(with_row_key(lines(spark, sf_dir), LINE_KEY))
     return out.select("cust_id", "trans_date", "is_rapid_transaction")
 
 
@@ -526,7 +526,7 @@ def f37(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def f38(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fe.product_gap_features(with_txn_key(lines(spark, sf_dir)))
+    out = fe.product_gap_features(with_row_key(lines(spark, sf_dir), LINE_KEY))
     return out.select("product_code", "cust_id", "trans_date", "same_product_time_gap")
 
 
@@ -539,7 +539,7 @@ def f38(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def f39(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fe.product_gap_features(with_txn_key(lines(spark, sf_dir)))
+    out = fe.product_gap_features(with_row_key(lines(spark, sf_dir), LINE_KEY))
     return out.select("product_code", "cust_id", "trans_date", "is_repeated_product_purchase")
 
 
@@ -636,7 +636,7 @@ FEATURE_CTES = (STATS_CTE, FLAGGED_CTE, CUSTOMER_CTE, PRODUCT_CTE, FEATURES_CTE)
     ),
 )
 def f43(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fe.engineer_features(lines(spark, sf_dir))
+    out = fe.engineer_features(lines(spark, sf_dir), LINE_KEY)
     return rounded(out.select(*LINE_KEY, *FULL_INT, *FULL_REAL), FULL_REAL)
 
 
@@ -655,7 +655,7 @@ def f43(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def f43_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = fe.engineer_features(lines(spark, sf_dir))
+    out = fe.engineer_features(lines(spark, sf_dir), LINE_KEY)
     return out.agg(
         F.count(F.lit(1)).alias("rows"),
         F.sum("is_rapid_transaction").alias("rapid"),
