@@ -51,22 +51,29 @@ def with_row_key(
 
 
 def global_row_number(
-    df: DataFrame, order: Sequence[Column], bucket: Column, name: str = "rn"
+    df: DataFrame,
+    order: Sequence[Column],
+    bucket: Column,
+    name: str = "rn",
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """0-based row number in a global order, without a one-partition window."""
-    numbered = cumulative(df.withColumn("_one", F.lit(1)), order, bucket, {name: "_one"})
+    numbered = cumulative(df.withColumn("_one", F.lit(1)), order, bucket, {name: "_one"}, within)
     return numbered.withColumn(name, F.col(name) - 1).drop("_one")
 
 
 def shuffled_row_number(
-    df: DataFrame, keys: Sequence[str], seed: int = 42, name: str = "rn"
+    df: DataFrame,
+    keys: Sequence[str],
+    seed: int = 42,
+    name: str = "rn",
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """0-based position of every row in the md5 order of its key."""
     hashed = df.withColumn("_hash", hash_text(keys, seed))
-    numbered = global_row_number(
-        hashed, [F.col("_hash"), *map(F.col, keys)], F.substring("_hash", 1, HASH_PREFIX), name
-    )
-    return numbered.drop("_hash")
+    prefix = F.substring("_hash", 1, HASH_PREFIX)
+    order = [F.col("_hash"), *map(F.col, keys)]
+    return global_row_number(hashed, order, prefix, name, within).drop("_hash")
 
 
 def dense_ids(df: DataFrame, key: str, name: str = "idx") -> DataFrame:

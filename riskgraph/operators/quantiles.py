@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskgraph.operators.small import broadcast_when_small
+
 ACCURACY = 10_000
 BRACKET_LIMIT = 200_000
 MAX_ROUNDS = 8
@@ -157,27 +159,39 @@ def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
 
 
 def cumulative(
-    df: DataFrame, order: Sequence[Column], bucket: Column, totals: Mapping[str, str]
+    df: DataFrame,
+    order: Sequence[Column],
+    bucket: Column,
+    totals: Mapping[str, str],
+    within: Sequence[str] = (),
 ) -> DataFrame:
     """Running totals in a global order, computed bucket by bucket.
 
     ``bucket`` must not decrease along ``order``. Bucket totals form a frame with one row
-    per bucket; only that frame is summed in one task.
+    per bucket; only that frame is summed in one task. ``within`` restarts the totals for
+    each value of those columns.
     """
     staged = df.withColumn("_bucket", bucket)
-    per_bucket = staged.groupBy("_bucket").agg(
+    cell = [*within, "_bucket"]
+    per_bucket = staged.groupBy(*cell).agg(
         *[F.sum(source).alias(f"_t_{name}") for name, source in totals.items()]
     )
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        Window.partitionBy(*within)
+        .orderBy("_bucket")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     offsets = per_bucket.select(
-        "_bucket",
+        *cell,
         *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals],
     )
-    inner = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    inner = (
+        Window.partitionBy(*cell)
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        staged.join(F.broadcast(offsets), "_bucket")
+        staged.join(broadcast_when_small(offsets), cell)
         .withColumns(
             {name: F.sum(src).over(inner) + F.col(f"_o_{name}") for name, src in totals.items()}
         )
