@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskgraph.functions.expressions import hash_text
 from riskgraph.operators.graph import (
     CUSTOMER_FEATURES,
     NODE_TYPES,
@@ -203,3 +204,20 @@ def transaction_vectors(
         side = vectors[kind].select(F.col("idx").alias(f"{kind}_idx"), F.col("x").alias(f"_{kind}"))
         out = out.join(side, f"{kind}_idx")
     return out.select(*keep, F.concat(*[f"_{kind}" for kind in NODE_TYPES]).alias("x"))
+
+
+def sample_in_edges(edges: DataFrame, fanout: int, seed: int = 42) -> DataFrame:
+    """At most ``fanout`` in-edges per node and relation, the first in md5 order."""
+    order = [hash_text(["src_idx", "dst_idx"], seed), "src_idx"]
+    return _first_in_edges(edges, fanout, order)
+
+
+def heaviest_in_edges(edges: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` in-edges with most lines per node and relation."""
+    return _first_in_edges(edges, limit, [F.desc("n"), F.col("src_idx")])
+
+
+def _first_in_edges(edges: DataFrame, limit: int, order: list) -> DataFrame:
+    # A rank bounded from above is cut before the shuffle, so hubs send only ``limit`` edges.
+    ranked = F.row_number().over(Window.partitionBy("rel", "dst_idx").orderBy(*order))
+    return edges.withColumn("_rn", ranked).filter(F.col("_rn") <= limit).drop("_rn")

@@ -5,6 +5,7 @@ from riskgraph.plans.catalog import (  # noqa: F401
     feature_queries,
     graph_queries,
     label_queries,
+    model_queries,
 )
 from riskgraph.plans.catalog.base import ORACLES, QUERIES
 
