@@ -50,7 +50,8 @@ def score_table(df: DataFrame, label: str, score: str) -> DataFrame:
     counts = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    bucket = bucket_of(F.col("score"), range_bounds(counts, "score", SCORE_BUCKETS))
+    _, cuts = range_bounds(counts, "score", SCORE_BUCKETS)
+    bucket = bucket_of(F.col("score"), cuts)
     return cumulative(counts, [F.col("score")], bucket, {"pos_upto": "pos", "neg_upto": "neg"})
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import hash_text
@@ -13,6 +13,8 @@ from riskgraph.operators.quantiles import bucket_of, cumulative, range_bounds
 COPIES_PER_BLOCK = 100_000
 HASH_PREFIX = 3
 RANGE_BUCKETS = 128
+# So few distinct ids are numbered in one task.
+SMALL_IDS = 100_000
 
 
 def with_txn_key(df: DataFrame, name: str = "txn_key") -> DataFrame:
@@ -79,8 +81,11 @@ def shuffled_row_number(
 def dense_ids(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """``key -> 0..n-1`` over the distinct values, in the order of the key."""
     distinct = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    cuts = range_bounds(distinct, key, RANGE_BUCKETS)
-    numbered = global_row_number(distinct, [F.col(key)], bucket_of(F.col(key), cuts), name)
+    count, cuts = range_bounds(distinct, key, RANGE_BUCKETS)
+    if count <= SMALL_IDS:
+        numbered = distinct.withColumn(name, F.row_number().over(Window.orderBy(key)) - 1)
+    else:
+        numbered = global_row_number(distinct, [F.col(key)], bucket_of(F.col(key), cuts), name)
     return numbered.select(key, F.col(name).cast("long").alias(name))
 
 

@@ -143,11 +143,13 @@ def _order_statistics(df: DataFrame, live: list[_Bracket]) -> dict[int, tuple[fl
     return out
 
 
-def range_bounds(df: DataFrame, column: str, buckets: int) -> list[float]:
-    """Approximate equal-count cut points of a column (bounded driver result)."""
+def range_bounds(df: DataFrame, column: str, buckets: int) -> tuple[int, list[float]]:
+    """Row count and approximate equal-count cut points of a column."""
     marks = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(column, marks, ACCURACY).alias("cuts")).first()["cuts"]
-    return sorted(set(cuts or []))
+    count, cuts = df.agg(
+        F.count(column), F.percentile_approx(column, marks, ACCURACY)
+    ).first()
+    return count, sorted(set(cuts or []))
 
 
 def bucket_of(value: Column, cuts: Sequence[float]) -> Column:

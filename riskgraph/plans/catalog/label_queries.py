@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskgraph.operators import cluster_metrics as cm
@@ -294,12 +294,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_distinct(F.col("amount") % 7).alias("n_clusters"),
         )
     )
-    order = F.array_position(
-        F.array(*[F.lit(n) for n in ("dbscan", "gmm", "isolation_forest", "kmeans")]),
-        F.col("algorithm"),
-    )
+    # At most twelve rows are numbered here.
+    run_id = F.row_number().over(Window.orderBy("algorithm", "bucket"))
     return grouped.select(
-        ((order - 1) * 3 + F.col("bucket") + 1).alias("run_id"),
+        run_id.alias("run_id"),
         "algorithm",
         F.col("algorithm").alias("method"),
         F.concat(F.lit("bucket="), F.col("bucket")).alias("params"),
