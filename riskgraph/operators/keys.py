@@ -11,7 +11,9 @@ from riskgraph.functions.expressions import hash_text
 from riskgraph.operators.quantiles import bucket_of, cumulative, range_bounds
 
 COPIES_PER_BLOCK = 100_000
-HASH_PREFIX = 3
+# Hash buckets for ranks: 4,096 up to a few billion rows, a million beyond.
+HASH_PREFIX, WIDE_HASH_PREFIX = 3, 5
+WIDE_ROWS = 4_000_000_000
 RANGE_BUCKETS = 128
 # So few distinct ids are numbered in one task.
 SMALL_IDS = 100_000
@@ -70,10 +72,15 @@ def shuffled_row_number(
     seed: int = 42,
     name: str = "rn",
     within: Sequence[str] = (),
+    rows: int | None = None,
 ) -> DataFrame:
-    """0-based position of every row in the md5 order of its key."""
+    """0-based position of every row in the md5 order of its key.
+
+    ``rows`` is the row count when the caller knows it; it sets the number of buckets.
+    """
+    rows = df.count() if rows is None else rows
     hashed = df.withColumn("_hash", hash_text(keys, seed))
-    prefix = F.substring("_hash", 1, HASH_PREFIX)
+    prefix = F.substring("_hash", 1, HASH_PREFIX if rows < WIDE_ROWS else WIDE_HASH_PREFIX)
     order = [F.col("_hash"), *map(F.col, keys)]
     return global_row_number(hashed, order, prefix, name, within).drop("_hash")
 

@@ -69,24 +69,32 @@ def _narrow(df: DataFrame, wide: list[_Bracket]) -> bool:
     """One round over all wide brackets; False when nothing changed."""
     if not wide:
         return False
+    # Quantiles still looking at the same value range share one sketch.
+    ranges: dict[tuple, list[_Bracket]] = {}
+    for b in wide:
+        ranges.setdefault((b.column, b.low, b.high), []).append(b)
+    step = 2.0 / ACCURACY
     sketches = []
-    for i, b in enumerate(wide):
-        share = (b.rank - b.below) / b.inside
-        step = 2.0 / ACCURACY
-        marks = [max(0.0, share - step), min(1.0, share + 1.0 / b.inside + step)]
-        sketches.append(
-            F.percentile_approx(
-                F.when(b.holds(), F.col(b.column)), marks, ACCURACY
-            ).alias(f"s{i}")
-        )
-    guess = df.agg(*sketches).first()
+    for group in ranges.values():
+        marks = []
+        for b in group:
+            share = (b.rank - b.below) / b.inside
+            marks += [max(0.0, share - step), min(1.0, share + 1.0 / b.inside + step)]
+        values = F.when(group[0].holds(), F.col(group[0].column))
+        sketches.append(F.percentile_approx(values, marks, ACCURACY).alias(f"s{len(sketches)}"))
+    marked = df.agg(*sketches).first()
+    guess = {
+        id(b): marked[g][2 * i : 2 * i + 2]
+        for g, group in enumerate(ranges.values())
+        for i, b in enumerate(group)
+    }
     placed = df.agg(
         *[
             expr
             for i, b in enumerate(wide)
             for expr in (
-                F.count_if(F.col(b.column) < F.lit(guess[i][0])).alias(f"b{i}"),
-                F.count_if(F.col(b.column).between(*guess[i])).alias(f"n{i}"),
+                F.count_if(F.col(b.column) < F.lit(guess[id(b)][0])).alias(f"b{i}"),
+                F.count_if(F.col(b.column).between(*guess[id(b)])).alias(f"n{i}"),
             )
         ]
     ).first()
@@ -95,7 +103,7 @@ def _narrow(df: DataFrame, wide: list[_Bracket]) -> bool:
         below, inside = placed[f"b{i}"], placed[f"n{i}"]
         reaches = below <= b.rank and below + inside >= min(b.rank + 2, b.below + b.inside)
         if reaches and inside < b.inside:
-            b.low, b.high = guess[i]
+            b.low, b.high = guess[id(b)]
             b.below, b.inside = below, inside
             changed = True
     return changed
