@@ -37,7 +37,8 @@ EXTREME_QUANTILE = 0.99
 
 UNDATED = -(2**62)
 CUSTOMER_GAP = ["cust_id"]
-PRODUCT_GAP = ["product_code", "cust_id"]
+PRODUCT_GAP = ["_product", "_customer"]
+NO_ID = -(2**62)
 
 # The feature catalogue.
 FEATURE_NAMES = [
@@ -265,6 +266,14 @@ def join_moments(df: DataFrame, frame: DataFrame, keys: Sequence[str], name: str
     )
 
 
+def with_pair_keys(df: DataFrame) -> DataFrame:
+    """Product and customer of a line, a missing id counting as one more id."""
+    ids = {"_product": "product_code", "_customer": "cust_id"}
+    return df.withColumns(
+        {name: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID)) for name, c in ids.items()}
+    )
+
+
 def customer_gap_flags(df: DataFrame) -> DataFrame:
     gap = F.col("time_since_last_trans")
     return df.withColumns(
@@ -294,9 +303,10 @@ def customer_gap_features(df: DataFrame, ts: str = "trans_date") -> DataFrame:
 
 def product_gap_features(df: DataFrame, ts: str = "trans_date") -> DataFrame:
     """Gap to the customer's previous line of the same product; needs ``txn_key``."""
-    moments = purchase_moments(df, PRODUCT_GAP, ts)
-    joined = join_moments(with_instant(df, ts), moments, PRODUCT_GAP, "same_product_time_gap")
-    return product_gap_flags(joined.drop("_at"))
+    paired = with_pair_keys(df)
+    moments = purchase_moments(paired, PRODUCT_GAP, ts)
+    joined = join_moments(with_instant(paired, ts), moments, PRODUCT_GAP, "same_product_time_gap")
+    return product_gap_flags(joined.drop("_at", *PRODUCT_GAP))
 
 
 def extreme_value_flag(df: DataFrame, stats: PriceStats | None = None) -> DataFrame:
@@ -334,10 +344,11 @@ def engineer_features(df: DataFrame, key_columns: Sequence[str] | None = None) -
     stats = price_stats(lines)
     base = discount_features(price_features(with_row_key(lines, key_columns), stats))
     customers = purchase_moments(base, CUSTOMER_GAP).join(customer_aggregates(base), "cust_id")
-    products = purchase_moments(base, PRODUCT_GAP).join(product_aggregates(base), "product_code")
+    figures = product_aggregates(base).withColumnRenamed("product_code", "_product")
+    products = purchase_moments(with_pair_keys(base), PRODUCT_GAP).join(figures, "_product", "left")
     rows = with_instant(extreme_value_flag(time_features(base), stats))
     joined = join_moments(rows, customers, CUSTOMER_GAP, "time_since_last_trans")
-    joined = join_moments(joined, products, PRODUCT_GAP, "same_product_time_gap")
-    return cleanup(
-        product_gap_flags(customer_gap_flags(with_product_deviation(joined))), drop=["_at"]
-    )
+    paired = with_pair_keys(joined)
+    joined = join_moments(paired, products, PRODUCT_GAP, "same_product_time_gap")
+    flagged = product_gap_flags(customer_gap_flags(with_product_deviation(joined)))
+    return cleanup(flagged, drop=["_at", *PRODUCT_GAP])

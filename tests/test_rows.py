@@ -183,3 +183,17 @@ def test_features_keep_every_row(spark):
     assert [r["time_since_last_trans"] for r in found] == [0.0, 999.0, 999.0]
     assert [r["customer_transaction_count"] for r in found] == [2, 2, 0]
     assert found[2]["product_popularity"] == 1 and found[2]["unit_price"] == 0.0
+
+
+def test_lines_without_customer_share_product_gaps(spark):
+    rows = [
+        ("a", None, 5, day("2024-05-01 10:00:00")),
+        ("b", None, 5, day("2024-05-01 12:00:00")),
+        ("c", 1, 5, day("2024-05-01 13:00:00")),
+        ("d", 1, None, day("2024-05-01 14:00:00")),
+        ("e", 1, None, day("2024-05-03 14:00:00")),
+    ]
+    schema = "txn_key string, cust_id long, product_code long, trans_date timestamp"
+    out = fe.product_gap_features(spark.createDataFrame(rows, schema))
+    found = {r["txn_key"]: r["same_product_time_gap"] for r in out.collect()}
+    assert found == {"a": 999.0, "b": 2.0, "c": 999.0, "d": 999.0, "e": 48.0}
