@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import bpe, chat, quality, sharding, warc
+from riskgraph.llm import bpe, chat, jaccard, quality, sharding, warc
 from riskgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,33 @@ select page_id, cast(bytes as bigint) as payload_bytes, p.digest as payload_dige
        case when copies > 1 and page_id <> kept then kept end as refers_to
 from p left join k on p.digest = k.digest
 """
+
+
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op6_ngram_jaccard"] = r"""
+with recursive w as (
+  select doc_id, list_filter(string_split_regex(lower_az, '[\x20\x09-\x0D]+'), lambda x: x <> '') as ws
+  from (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+               'abcdefghijklmnopqrstuvwxyz') as lower_az from documents)
+), s as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+         else list_distinct(list_transform(range(1, len(ws) - 3),
+              lambda i: array_to_string(ws[i:i + 4], ' '))) end as sh from w
+), e as (select doc_id, len(sh) as n, unnest(sh) as g from s),
+p as (
+  select x.doc_id as a, y.doc_id as b, any_value(x.n) as n, any_value(y.n) as m, count(*) as c
+  from e x join e y on x.g = y.g and x.doc_id < y.doc_id group by x.doc_id, y.doc_id
+), l as (select a, b from p where 100 * c >= 80 * (n + m - c)),
+both_ways as (select a, b from l union all select b, a from l),
+reach as (
+  select doc_id as a, doc_id as b from s
+  union
+  select r.a, l.b from reach r join both_ways l on r.b = l.a
+)
+select s.doc_id, cast(len(sh) as bigint) as n_shingles, m.component_id
+from s join (select a, min(b) as component_id from reach group by a) m on m.a = s.doc_id
+"""

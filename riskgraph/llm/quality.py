@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskgraph.llm.common import SPACES, with_ids
+from riskgraph.llm.common import SPACES, saved, with_ids
 from riskgraph.operators.small import broadcast_when_small
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -206,6 +206,7 @@ def certified_cutoffs(
         )
     )
     # From here on a few rows per stratum: counts of documents beyond each cutoff.
+    counts = saved(counts)
     steps = F.explode(F.sequence(F.lit(1), F.lit(len(CUTS)))).alias("step")
     grid = counts.select("stratum", "rule", "level", "good_a", "bad_a", "good_b", steps)
     reached = F.col("level") >= F.lit(len(CUTS) + 1) - F.col("step")
