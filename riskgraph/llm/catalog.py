@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import bpe, chat, jaccard, quality, sharding, warc
+from riskgraph.llm import bpe, chat, decontaminate, jaccard, pii, quality, sharding, substring, warc
 from riskgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,61 @@ reach as (
 select s.doc_id, cast(len(sh) as bigint) as n_shingles, m.component_id
 from s join (select a, min(b) as component_id from reach group by a) m on m.a = s.doc_id
 """
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+ORACLES["op2_substring_dedup"] = r"""
+with w as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+                             lambda x: x <> '') as ws from documents
+), p as (
+  select doc_id, unnest(range(1, len(ws) - 48)) as i, ws from w where len(ws) >= 50
+), h as (select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) as h from p),
+f as (select h, min(doc_id) as first from h group by h),
+r as (
+  select doc_id, unnest(range(i, i + 50)) as j from h join f using (h) where first < doc_id
+), g as (select distinct doc_id, j from r),
+words as (select doc_id, generate_subscripts(ws, 1) as j, unnest(ws) as word from w where len(ws) > 0),
+k as (
+  select doc_id, count(g.j) as n_removed,
+         string_agg(case when g.j is null then word end, ' ' order by j) as kept
+  from words left join g using (doc_id, j) group by doc_id
+)
+select w.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_removed, 0) as n_removed,
+       sha256(coalesce(kept, '')) as kept_sha256
+from w left join k using (doc_id)
+"""
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+@query
+def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("_spans", lambda s: s["kind"].isin(*pii.KINDS))
+
+    def count(kind: str):
+        return F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def text(spans):
+        return F.concat_ws(
+            ",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+        )
+
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(text(base), 256).alias("base_sha256"),
+        text(F.col("_spans")).alias("spans"),
+    )
