@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import bpe, chat, decontaminate, jaccard, pii, quality, sharding, substring, warc
+from riskgraph.llm import bpe, chat, decontaminate, jaccard, pii, quality, sharding, substring, toxicity, warc
 from riskgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,3 +188,9 @@ def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text(base), 256).alias("base_sha256"),
         text(F.col("_spans")).alias("spans"),
     )
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))

@@ -124,6 +124,19 @@ def _hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
 
 
+_TABLES = [_POW, _INV]
+
+
+def stretch_hashes(hashes: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hash of the words ``first`` to ``first + size - 1`` for every stretch, from running sums."""
+    if len(hashes) > len(_TABLES[0]):
+        _TABLES[0] = _powers(_BASE, 2 * len(hashes))
+        _TABLES[1] = _powers(pow(_BASE, -1, 1 << 64), 2 * len(hashes))
+    run = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * _TABLES[0][: len(hashes)], out=run[1:])
+    return mix((run[first + size] - run[first]) * _TABLES[1][first] + size.astype(np.uint64))
+
+
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` consecutive words; entry i covers words i to i + n - 1.
 

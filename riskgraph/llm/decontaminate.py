@@ -13,14 +13,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.common import chunks, gram_hashes, mix
+from riskgraph.llm.common import Words, chunks, gram_hashes, mix
 
 # Items with fewer words cannot be told from ordinary text and match nothing.
 MIN_ITEM_WORDS = 5
@@ -42,31 +42,37 @@ def seed_words(words: int) -> int:
     return min(3, -(-(words - edits) // (edits + 1)))
 
 
-def _bits(values: np.ndarray, step: int, repeat: int) -> np.ndarray:
-    """A random bit for every word value, step and repetition."""
-    salt = np.uint64((SEED + repeat * 0x9E3779B97F4A7C15 + step * 0xD1B54A32D192ED03) % (1 << 64))
-    return (mix(values ^ salt) >> np.uint64(63)).astype(np.int64)
+@lru_cache(maxsize=256)
+def _plan(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Random salts of every step and repetition, and which steps each repetition samples."""
+    random = np.random.default_rng([SEED, size])
+    # Later steps of the walk mostly read padding, so samples come from the first half.
+    steps = 3 * size // 2
+    salts = random.integers(0, 1 << 63, (steps, REPEATS, 1), dtype=np.uint64)
+    wanted = np.zeros((steps, REPEATS), dtype=bool)
+    for repeat in range(REPEATS):
+        wanted[random.choice(steps, SAMPLED, replace=False), repeat] = True
+    return salts, wanted
 
 
 def embed_keys(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """LSH keys (one row per repetition) of the windows of ``size`` words at ``starts``."""
-    steps = 3 * size
+    """LSH keys (one row per repetition) of the windows of ``size`` words at ``starts``.
+
+    A walk reads the word under its pointer and moves on by a random bit that depends on that
+    word, the step and the repetition; all walks go in step.
+    """
+    salts, wanted = _plan(size)
     padded = np.append(hashes, np.uint64(0))
-    out = np.empty((REPEATS, len(starts)), dtype=np.uint64)
-    ends = starts + size
-    for repeat in range(REPEATS):
-        random = np.random.default_rng([SEED, size, repeat])
-        # Later steps of the walk mostly read padding, so samples come from the first half.
-        wanted = set(random.choice(steps // 2, SAMPLED, replace=False).tolist())
-        at = starts.copy()
-        key = np.full(len(starts), repeat + 1, dtype=np.uint64)
-        for step in range(max(wanted) + 1):
-            value = np.where(at < ends, padded[np.minimum(at, len(hashes))], np.uint64(0))
-            if step in wanted:
-                key = mix(key * np.uint64(0x9E3779B97F4A7C15) + value)
-            at += _bits(value, step, repeat)
-        out[repeat] = key
-    return out
+    at = np.repeat(starts[None, :], REPEATS, axis=0)
+    ends = np.minimum(starts + size, len(hashes))[None, :]
+    keys = np.repeat(np.arange(1, REPEATS + 1, dtype=np.uint64)[:, None], len(starts), axis=1)
+    for step in range(len(salts)):
+        value = padded[np.where(at < ends, at, len(hashes))]
+        rows = np.flatnonzero(wanted[step])
+        if len(rows):
+            keys[rows] = mix(keys[rows] * np.uint64(0x9E3779B97F4A7C15) + value[rows])
+        at += (mix(value ^ salts[step]) >> np.uint64(63)).astype(np.int64)
+    return keys
 
 
 def edit_distance(item: list, text: list) -> tuple[int, int]:
@@ -100,8 +106,13 @@ class _Items:
             for at, gram in enumerate(gram_hashes(words, width).tolist()):
                 if (size, at) not in self.seeds[width][gram]:
                     self.seeds[width][gram].append((size, at))
-            for key in embed_keys(words, np.zeros(1, dtype=np.int64), size)[:, 0].tolist():
-                self.keys[size][key].append(i)
+        for size in {len(words) for words in self.words}:
+            same = [i for i, words in enumerate(self.words) if len(words) == size]
+            joined = np.concatenate([self.words[i] for i in same])
+            keys = embed_keys(joined, np.arange(len(same), dtype=np.int64) * size, size)
+            for column, i in enumerate(same):
+                for key in keys[:, column].tolist():
+                    self.keys[size][key].append(i)
         self.sorted = {w: np.sort(np.fromiter(s, dtype=np.uint64)) for w, s in self.seeds.items()}
         self.filter = {}
         for width, grams in self.sorted.items():
@@ -115,7 +126,7 @@ class _Items:
             for a, b in zip(words.first[:-1], words.first[1:]):
                 yield words.hashes[a:b]
 
-    def windows(self, hashes: np.ndarray, first: np.ndarray) -> dict[int, set]:
+    def windows(self, hashes: np.ndarray) -> dict[int, set]:
         """Window starts by size where a seed is found; windows may reach beyond their row."""
         found: dict[int, set] = defaultdict(set)
         for width, grams in self.sorted.items():
@@ -128,31 +139,42 @@ class _Items:
                     found[size].add(p - at)
         return found
 
-    def search(self, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """``row, item, distance, start word`` of the best match of each row and item."""
-        candidates = set()
-        for size, starts in self.windows(hashes, first).items():
-            starts = np.array(sorted(s for s in starts if -size < s), dtype=np.int64)
-            starts = np.maximum(starts, 0)
+    def collect(self, words: Words, waiting: dict[int, list]) -> None:
+        """Add the candidate windows of a chunk: row, start, offset in the stretch, stretch.
+
+        The stretch holds the window and, within its row, the words that edits could add.
+        """
+        hashes, first = words.hashes, words.first
+        for size, places in self.windows(hashes).items():
+            starts = np.maximum(np.array(sorted(s for s in places if -size < s), np.int64), 0)
             # The middle of the window tells its row; its ends may stick out by a few words.
-            rows = np.searchsorted(first, np.minimum(starts + size // 2, len(hashes) - 1), "right") - 1
+            middle = np.minimum(starts + size // 2, len(hashes) - 1)
+            rows = np.searchsorted(first, middle, "right") - 1
             starts = np.maximum(starts, first[rows])
-            pairs = np.unique(np.stack([rows, starts]), axis=1)
-            table = self.keys[size]
-            for keys in embed_keys(hashes, pairs[1], size):
-                for j, key in enumerate(keys.tolist()):
-                    for item in table.get(key, ()):
-                        candidates.add((int(pairs[0, j]), item, int(pairs[1, j])))
+            edits = allowed_edits(size)
+            for row, start in sorted(set(zip(rows.tolist(), starts.tolist()))):
+                low = max(int(first[row]), start - edits)
+                high = min(int(first[row + 1]), start + size + edits)
+                at = start - int(first[row])
+                waiting[size].append((words.row + row, at, start - low, hashes[low:high].copy()))
+
+    def search(self, waiting: dict[int, list]) -> Iterator[tuple[int, int, int, int]]:
+        """``row, item, distance, start word`` of the best match of each row and item."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for row, item, start in sorted(candidates):
-            words = self.words[item]
-            edits = allowed_edits(len(words))
-            low = max(int(first[row]), start - edits)
-            high = min(int(first[row + 1]), start + len(words) + edits)
-            distance, end = edit_distance(words.tolist(), hashes[low:high])
-            if distance <= edits:
-                at = max(low + end - len(words), low) - int(first[row])
-                best[row, item] = min(best.get((row, item), (distance, at)), (distance, at))
+        for size, found in waiting.items():
+            table = np.zeros((len(found), size), dtype=np.uint64)
+            for j, (_, _, offset, stretch) in enumerate(found):
+                window = stretch[offset : offset + size]
+                table[j, : len(window)] = window
+            keys = embed_keys(table.ravel(), np.arange(len(found), dtype=np.int64) * size, size)
+            edits, items = allowed_edits(size), self.keys[size]
+            for j, column in enumerate(keys.T.tolist()):
+                for item in {i for key in column for i in items.get(key, ())}:
+                    row, at, offset, stretch = found[j]
+                    distance, end = edit_distance(self.words[item].tolist(), stretch)
+                    if distance <= edits:
+                        place = (distance, max(at - offset + end - size, 0))
+                        best[row, item] = min(best.get((row, item), place), place)
         for (row, item), (distance, at) in sorted(best.items()):
             yield row, item, distance, at
 
@@ -168,14 +190,14 @@ def _search_block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         for batch in batches:
             ids = batch["doc_id"].to_pylist()
             out: list[list] = [[] for _ in range(6)]
+            waiting: dict[int, list] = defaultdict(list)
             for words in chunks(batch["text"], lower=True):
-                for row, item, distance, at in block.search(words.hashes, words.first):
-                    size = len(block.words[item])
-                    values = (
-                        ids[words.row + row], block.ids[item], distance, size, at, 1 - distance / size,
-                    )
-                    for column, value in zip(out, values):
-                        column.append(value)
+                block.collect(words, waiting)
+            for row, item, distance, at in block.search(waiting):
+                size = len(block.words[item])
+                values = ids[row], block.ids[item], distance, size, at, 1 - distance / size
+                for column, value in zip(out, values):
+                    column.append(value)
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64()]
             names = [part.split()[0] for part in FOUND.split(", ")]
             yield pa.RecordBatch.from_arrays(

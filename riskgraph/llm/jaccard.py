@@ -133,12 +133,10 @@ def _entries(docs: DataFrame, estimates: np.ndarray, blocks: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(estimates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, total = shared.value, [], 0
+        counts, waiting, seen, total = shared.value, [], set(), 0
 
         def flush() -> pa.RecordBatch:
             entries = np.concatenate(waiting) if waiting else np.empty(0, _ENTRY)
-            # Equal texts of one task have equal entries.
-            entries = np.unique(entries)
             block = ((entries["h"] >> np.uint64(20)) % np.uint64(blocks)).astype(np.int32)
             order = np.argsort(block, kind="stable")
             entries, block = entries[order], block[order]
@@ -157,18 +155,20 @@ def _entries(docs: DataFrame, estimates: np.ndarray, blocks: int) -> DataFrame:
             for words in chunks(batch["text"], lower=True):
                 for s in shingle_sets(words):
                     n = len(s)
-                    if n == 0:
+                    key = set_key(s)
+                    if n == 0 or key in seen:  # equal sets have equal entries
                         continue
+                    seen.add(key)
                     order = np.argsort(counts[s % np.uint64(SKETCH)], kind="stable")
                     prefix = s[order[: n - (4 * n + 4) // 5 + 1]]
                     part = np.empty(len(prefix), dtype=_ENTRY)
-                    part["h"], part["k"], part["n"] = prefix, set_key(s), n
+                    part["h"], part["k"], part["n"] = prefix, key, n
                     part["i"] = np.arange(len(prefix))
                     waiting.append(part)
                     total += len(prefix)
                 if total >= FLUSH_ENTRIES:
                     yield flush()
-                    waiting, total = [], 0
+                    waiting, seen, total = [], set(), 0
         yield flush()
 
     # Rows without an id are never linked.
@@ -203,7 +203,9 @@ def _multiply(entries: DataFrame) -> DataFrame:
         parts = [
             np.frombuffer(x, dtype=_ENTRY) for batch in batches for x in batch["entries"].to_pylist()
         ]
-        e = np.unique(np.concatenate(parts))  # by shingle, then set
+        e = np.concatenate(parts)
+        e = e[np.lexsort((e["k"], e["h"]))]
+        e = e[np.concatenate([[True], (e["h"][1:] != e["h"][:-1]) | (e["k"][1:] != e["k"][:-1])])]
         h = np.ascontiguousarray(e["h"])
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         sizes = np.diff(np.append(starts, len(h)))
@@ -235,8 +237,12 @@ def _multiply(entries: DataFrame) -> DataFrame:
         )
         a = np.concatenate(found_a) if found_a else np.empty(0, np.int64)
         b = np.concatenate(found_b) if found_b else np.empty(0, np.int64)
-        both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-        yield from out(both[0], both[1], large).combine_chunks().to_batches()
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
+        new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(a) else []
+        new = np.asarray(new, dtype=bool)
+        yield from out(low[new], high[new], large).combine_chunks().to_batches()
 
     return entries.groupBy("block").applyInArrow(run, _FOUND)
 

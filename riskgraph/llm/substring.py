@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.common import chunks, gram_hashes, saved, with_ids
+from riskgraph.llm.common import chunks, gram_hashes, saved, stretch_hashes, with_ids
 
 WINDOW, GRAM = 50, 16
 SHARD_RUNS = 500
@@ -54,17 +54,7 @@ def runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     if lengths.max() > SPAN:
         first = np.concatenate([np.arange(f, f + n, SPAN) for f, n in zip(first, lengths)])
         lengths = np.diff(np.append(first, len(low)))
-    # Two sums over each run's words; with the anchor they identify its content.
-    factor = np.uint64(0xD6E8FEB86659FD93 | 1)
-    power = np.ones(WINDOW + SPAN, dtype=np.uint64)
-    power[1:] = factor
-    np.multiply.accumulate(power, out=power)
-    whole = np.zeros(len(first), dtype=np.uint64)
-    size = lengths + WINDOW - 1
-    for j in range(int(size.max())):
-        inside = np.flatnonzero(size > j)
-        whole[inside] += hashes[first[inside] + j] * power[j]
-    content = whole ^ (lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    content = stretch_hashes(hashes, first, lengths + WINDOW - 1)
     return low[first].view(np.int64), content.view(np.int64), first, lengths
 
 
@@ -111,7 +101,7 @@ class SuffixAutomaton:
         self.owner.append(owner)
         return len(self.link) - 1
 
-    def _split(self, p: int, q: int, word, ) -> int:
+    def _split(self, p: int, q: int, word) -> int:
         clone = self._state(dict(self.next[q]), self.length[p] + 1, self.link[q], self.owner[q])
         self.link[q] = clone
         while p >= 0 and self.next[p].get(word) == q:
