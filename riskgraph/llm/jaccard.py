@@ -27,10 +27,12 @@ from riskgraph.llm.common import Words, chunks, gram_hashes, saved, with_ids
 from riskgraph.operators.components import connected_components
 
 SHINGLE = 5
-# Counters of the estimate of document counts; a fixed 8 MB on the driver and every executor.
-SKETCH, SKETCH_BLOCKS = 1 << 20, 64
+# Counters of the estimate of document counts: a fixed 16 MB on the driver and in every task. The
+# estimate only orders shingles, so results do not depend on its size; common shingles sink the
+# better the more counters there are.
+SKETCH, SKETCH_BLOCKS = 1 << 24, 256
 # Entries of a column block, and rows of a column that are multiplied out directly.
-BLOCK_ENTRIES, PAIR_ROWS = 1_000_000, 48
+BLOCK_ENTRIES, PAIR_ROWS = 1_000_000, 12
 FLUSH_ENTRIES = 500_000
 
 _ENTRY = np.dtype([("h", "<u8"), ("k", "<i8"), ("n", "<i4"), ("i", "<i4")])
@@ -73,7 +75,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     """Size and identity of every set; rows with a block hold the counters of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters = np.zeros(SKETCH, dtype=np.uint32)
+        counters = np.zeros(SKETCH, dtype=np.uint8)  # saturating
 
         def rows(ids, sizes, keys, blocks, counts) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -91,13 +93,14 @@ def _sets(docs: DataFrame) -> DataFrame:
                 sizes += map(len, sets)
                 keys += map(set_key, sets)
                 if sets:
-                    slots = (np.concatenate(sets) % SKETCH).astype(np.int64)
-                    counters += np.bincount(slots, minlength=SKETCH).astype(np.uint32)
+                    slots, more = np.unique(np.concatenate(sets) % SKETCH, return_counts=True)
+                    counters[slots] = np.minimum(counters[slots] + more, 255)
             none = [None] * len(sizes)
             yield rows(batch["doc_id"], sizes, keys, none, none)
         pack = zstd.ZstdCompressor(level=1).compress
-        parts = [pack(c.tobytes()) for c in np.split(counters, SKETCH_BLOCKS) if c.any()]
-        used = [i for i, c in enumerate(np.split(counters, SKETCH_BLOCKS)) if c.any()]
+        split = np.split(counters, SKETCH_BLOCKS)
+        used = [i for i, c in enumerate(split) if c.any()]
+        parts = [pack(split[i].tobytes()) for i in used]
         none = [None] * len(used)
         yield rows(none, none, none, used, parts)
 
@@ -105,16 +108,16 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _estimates(sets: DataFrame) -> np.ndarray:
-    """Sum of all tasks' counters: a fixed number of them."""
+    """Sums of all tasks' counters on a logarithmic scale: a fixed number of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         unpack = zstd.ZstdDecompressor().decompress
         for batch in batches:
             for block, packed in zip(batch["block"].to_pylist(), batch["counts"].to_pylist()):
-                counts = np.frombuffer(unpack(packed), dtype=np.uint32)
-                sums[block] = sums.get(block, 0) + counts.astype(np.uint64)
-        packed = [np.minimum(c, 0xFFFFFFFF).astype(np.uint32).tobytes() for c in sums.values()]
+                counts = np.frombuffer(unpack(packed), dtype=np.uint8)
+                sums[block] = sums.get(block, 0) + counts.astype(np.int64)
+        packed = [(4 * np.log2(1 + c)).astype(np.uint8).tobytes() for c in sums.values()]
         yield pa.RecordBatch.from_arrays(
             [pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())],
             names=["block", "counts"],
@@ -122,9 +125,9 @@ def _estimates(sets: DataFrame) -> np.ndarray:
 
     parts = sets.filter("block is not null").select("block", "counts")
     summed = parts.repartition(SKETCH_BLOCKS, "block").mapInArrow(run, "block int, counts binary")
-    out = np.zeros((SKETCH_BLOCKS, SKETCH // SKETCH_BLOCKS), dtype=np.uint32)
+    out = np.zeros((SKETCH_BLOCKS, SKETCH // SKETCH_BLOCKS), dtype=np.uint8)
     for row in summed.collect():
-        out[row["block"]] = np.frombuffer(row["counts"], dtype=np.uint32)
+        out[row["block"]] = np.frombuffer(row["counts"], dtype=np.uint8)
     return out.reshape(-1)
 
 
@@ -225,11 +228,13 @@ def _multiply(entries: DataFrame) -> DataFrame:
                     keep((some[:, None] + x).ravel(), (some[:, None] + y).ravel())
         long = np.flatnonzero(sizes > PAIR_ROWS)
         for start, size in zip(starts[long].tolist(), sizes[long].tolist()):
-            inside = start + np.argsort(n[start : start + size], kind="stable")
+            # The pivot is the smallest identity, so the columns of a group agree on a few.
+            inside = np.arange(start, start + size)
             while len(inside) > 1:  # a pivot, and the rows whose size allows a link to it
-                reach = int(np.searchsorted(n[inside], n[inside[0]] * 5 // 4, side="right"))
-                keep(np.full(max(reach - 1, 0), inside[0]), inside[1:reach])
-                inside = inside[max(reach, 1) :]
+                pivot, rest = inside[0], inside[1:]
+                fits = (5 * n[rest] >= 4 * n[pivot]) & (5 * n[pivot] >= 4 * n[rest])
+                keep(np.full(int(fits.sum()), pivot), rest[fits])
+                inside = rest[~fits]
         large = (
             np.concatenate([e[s : s + z] for s, z in zip(starts[long], sizes[long])])
             if len(long)

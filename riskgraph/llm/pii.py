@@ -135,6 +135,8 @@ def votes(text: str, start: int, end: int) -> tuple[int, ...]:
 
 
 LABELERS = 6
+# Weight of the pull of classifier weights towards 0.
+RIDGE = 0.01
 
 
 def features(text: str, start: int, end: int) -> tuple[int, ...]:
@@ -197,8 +199,8 @@ def fit_classifier(rows: list[tuple[tuple[int, ...], float, int]], steps: int =
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-x @ w))
-        slope = x.T @ (n * (y - p)) - w
-        curve = (x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(w))
+        slope = x.T @ (n * (y - p)) - RIDGE * w
+        curve = (x * (n * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
         step = np.linalg.solve(curve, slope)
         w += step
         if np.abs(step).max() < 1e-9:

@@ -225,7 +225,7 @@ def _single_windows(spans: DataFrame) -> DataFrame:
     first = windows.groupBy("window").agg(F.min("doc_id").alias("first"))
     later = windows.join(first, "window").filter("first < doc_id")
     return later.groupBy("anchor", "content").agg(
-        F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.col("j"))).alias("mask")
+        F.bit_or(F.expr("shiftleft(1L, j)")).alias("mask")
     )
 
 
