@@ -32,7 +32,7 @@ SHINGLE = 5
 # better the more counters there are.
 SKETCH, SKETCH_BLOCKS = 1 << 24, 256
 # Entries of a column block, and rows of a column that are multiplied out directly.
-BLOCK_ENTRIES, PAIR_ROWS = 1_000_000, 12
+BLOCK_ENTRIES, PAIR_ROWS = 1_000_000, 2
 FLUSH_ENTRIES = 500_000
 
 _ENTRY = np.dtype([("h", "<u8"), ("k", "<i8"), ("n", "<i4"), ("i", "<i4")])
