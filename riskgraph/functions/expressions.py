@@ -27,8 +27,9 @@ def ratio_or_zero(numerator: Column, denominator: Column) -> Column:
 
 
 def comma_double(text: Column) -> Column:
-    """Comma-decimal text to double, unreadable text to null."""
-    return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
+    """Comma-decimal text to double, unreadable text and ``NaN`` to null."""
+    number = F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
+    return F.when(~F.isnan(number), number)
 
 
 def lenient_timestamp(text: Column) -> Column:

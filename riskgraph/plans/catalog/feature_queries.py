@@ -125,19 +125,6 @@ def s10(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("s11_compare_columns")
-def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = lines(spark, sf_dir)
-    return profile.compare_columns(full.select(*RAW_COLUMNS), full.drop("barcode"))
-
-
-@query("s12_compare_types")
-def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    full = lines(spark, sf_dir)
-    narrow = full.withColumn("amount", F.col("amount").cast("long"))
-    return profile.compare_types(full, narrow)
-
-
 DESCRIBED = ["amount", "unit_price", "discounted_total_price", "total_discount_amount", "cust_id"]
 
 

@@ -16,7 +16,6 @@ from riskgraph.operators import propagate as pr
 from riskgraph.operators import splits as sp
 from riskgraph.operators.clustering import gaussian_mixture, kmeans, principal_components
 from riskgraph.operators.dbscan import dbscan
-from riskgraph.operators.features import missing_features
 from riskgraph.operators.iforest import isolation_forest
 from riskgraph.operators.keys import with_row_key
 from riskgraph.operators.neighbors import nearest_label
@@ -154,14 +153,6 @@ def s20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.load_graph(spark, path).edges.select("rel", "src_idx", "dst_idx", "n")
 
 
-@query("f44_feature_catalogue", "select 42 as features, 0 as missing from lineitem limit 1")
-def f44(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = fe.engineer_features(lines(spark, sf_dir), LINE_KEY)
-    known = [c for c in fe.feature_names() if c in built.columns]
-    missing = len(missing_features(built))
-    return spark.createDataFrame([(len(known), missing)], "features int, missing int")
-
-
 @query("f41_drop_helpers", with_lines(f"select {KEY_SQL} from lines"))
 def f41(spark: SparkSession, sf_dir: str) -> DataFrame:
     helped = lines(spark, sf_dir).select(*LINE_KEY, F.lit("x").alias("product_cust_key"))

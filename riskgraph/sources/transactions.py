@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgraph.functions.expressions import comma_double, lenient_timestamp
+from riskgraph.functions.expressions import comma_double, lenient_timestamp, nan_to_null
 
 # The two file layouts.
 ID_FIELDS = [
@@ -90,7 +90,7 @@ def load_transactions(
     layout = layout or layout_of(path)
     if layout not in READERS:
         raise ValueError(f"unknown layout {layout!r}; expected one of {sorted(READERS)}")
-    df = READERS[layout](spark, path)
+    df = nan_to_null(READERS[layout](spark, path))
     return df.limit(limit) if limit else df
 
 
