@@ -8,13 +8,16 @@ product of a block finds pairs of rows with a common column, and a pair is disca
 all shingles from that column on could not make up the overlap its sizes ask for: the first
 common column of a true pair never discards it. Surviving pairs are counted exactly.
 
-Columns with many rows are not multiplied out: their rows are first compared with a few pivots,
-and only rows that then still lie in different components meet each other.
+Columns with many rows are not multiplied out: their rows are compared with a few pivots, then
+with new ones as long as that unites them quickly. Only rows that then still lie in different
+components meet each other, and of those pairs only the ones are counted whose signatures allow it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,10 @@ SKETCH, SKETCH_BLOCKS = 1 << 24, 256
 # Entries of a column block, and rows of a column that are multiplied out directly.
 BLOCK_ENTRIES, PAIR_ROWS = 1_000_000, 2
 FLUSH_ENTRIES = 500_000
+# Bits of a set's signature.
+SIGNATURE = 1024
+# Pivots of a long column in each later round.
+PIVOTS = 2
 
 _ENTRY = np.dtype([("h", "<u8"), ("k", "<i8"), ("n", "<i4"), ("i", "<i4")])
 
@@ -68,6 +75,15 @@ def linked(common, n, m):
     return 100 * common >= 80 * (n + m - common)
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls on each of ``SIGNATURE`` bits, as 64-bit integers.
+
+    Two signatures differ in no more bits than the sets differ in shingles.
+    """
+    odd = np.bincount((shingles % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
 _SETS = "doc_id long, n int, k long, block int, counts binary"
 
 
@@ -252,27 +268,35 @@ def _multiply(entries: DataFrame) -> DataFrame:
     return entries.groupBy("block").applyInArrow(run, _FOUND)
 
 
-def _links(docs: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of set identities whose exact similarity is at least 4/5.
+def _texts(docs: DataFrame, keys: DataFrame, ends: DataFrame) -> DataFrame:
+    """One text (``k, text``) and signature (``bits``) of each set in the one-column frame ``ends``.
 
     ``keys`` names one document of each set (``k, rep``).
     """
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     wanted = saved(keys.join(ends, "k", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = [set_key(s) for words in chunks(batch["text"], lower=True) for s in shingle_sets(words)]
+            k, bits = [], []
+            for words in chunks(batch["text"], lower=True):
+                for s in shingle_sets(words):
+                    k.append(set_key(s))
+                    bits.append(signature(s))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k, pa.int64()), batch["text"]], names=["k", "text"]
+                [pa.array(k, pa.int64()), pa.array(bits, pa.list_(pa.int64())), batch["text"]],
+                names=["k", "bits", "text"],
             )
 
     texts = (
         with_ids(docs.select(F.col("doc_id").cast("long"), "text"), wanted)
-        .mapInArrow(name, "k long, text string")
+        .mapInArrow(name, "k long, bits array<bigint>, text string")
         .dropDuplicates(["k"])
     )
-    texts = saved(texts)
+    return saved(texts)
+
+
+def _links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of set identities whose exact similarity is at least 4/5."""
     sides = pairs.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a"
     )
@@ -296,6 +320,83 @@ def _links(docs: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
 
 
+def _open_rows(large: DataFrame, roots: DataFrame) -> tuple[DataFrame, float]:
+    """Rows of long columns that are not in one component yet, with their roots.
+
+    The second value is the number of pairs in different components that those columns hold.
+    """
+    labelled = saved(large.join(roots.withColumnRenamed("node", "k"), "k"))
+    n = F.col("n").cast("double")
+    apart = saved(
+        labelled.groupBy("h", "root").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.sum(n).alias("n"), F.sum(n * n).alias("same"))
+        .filter("roots > 1").select("h", ((n * n - F.col("same")) / 2).alias("pairs"))
+    )
+    total = apart.agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
+    return with_ids(labelled, apart.select("h"), "h"), total
+
+
+def _apart(left: DataFrame, right: DataFrame, same: bool = False) -> DataFrame:
+    """Pairs of a column's rows in different components, as ``a < b``; ``same`` tells that both frames are one.
+
+    A pair is left out where its sizes and places, or the bits in which the signatures differ,
+    show that it falls short of the overlap: linked sets differ in at most a ninth of ``n + m``.
+    """
+    left = left.select("h", *[F.col(c).alias(f"{c}_a") for c in ("k", "n", "i", "root", "bits")])
+    n, m = F.col("n_a").cast("long"), F.col("n").cast("long")
+    words = range(SIGNATURE // 64)
+    differ = reduce(add, [F.bit_count(F.col("bits_a")[j].bitwiseXOR(F.col("bits")[j])) for j in words])
+    return (
+        left.join(right, "h")
+        .filter("root_a <> root and k_a < k" if same else "root_a <> root")
+        .filter(F.least(n - F.col("i_a"), m - F.col("i")) * 9 >= 4 * (n + m))
+        .filter(differ * 9 <= n + m)
+        .select(F.least("k_a", "k").alias("a"), F.greatest("k_a", "k").alias("b"))
+    )
+
+
+def _pivots(still: DataFrame, number: int) -> DataFrame:
+    """A few rows of every column: the least ones by a hash that differs from round to round."""
+    least = [
+        F.min(F.struct(F.xxhash64("k", F.lit(number * PIVOTS + j)).alias("order"), "k", "n", "i", "root", "bits"))
+        for j in range(PIVOTS)
+    ]
+    rows = still.groupBy("h").agg(F.array_distinct(F.array(*least)).alias("p"))
+    return rows.select("h", F.inline("p")).drop("order")
+
+
+def _unite(docs: DataFrame, keys: DataFrame, large: DataFrame, roots: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links between rows of long columns that the first pivots left in different components.
+
+    Rows meet new pivots as long as a round at least halves the pairs in different components;
+    what is left then meets in full, so no link between components is missed. ``pairs`` have been
+    compared before.
+    """
+    still, apart = _open_rows(large, roots)
+    if not apart:
+        return pairs.limit(0)
+    texts = _texts(docs, keys, still.select("k").distinct())
+    still = still.join(texts.select("k", "bits"), "k")
+    parts, number = [], 0
+    while apart:
+        more = saved(_apart(_pivots(still, number), still).distinct().join(pairs, ["a", "b"], "left_anti"))
+        links = saved(_links(texts, more))
+        parts.append(links)
+        pairs = pairs.unionByName(more)
+        known = still.select(F.col("k").alias("a"), F.col("root").alias("b"))
+        nodes = still.select("k").distinct().withColumnRenamed("k", "node")
+        roots = connected_components(nodes, known.unionByName(links))
+        before = apart
+        still, apart = _open_rows(still.drop("root"), roots)
+        number += 1
+        if 2 * apart > before:
+            break
+    if apart:
+        rest = _apart(still, still, same=True).distinct().join(pairs, ["a", "b"], "left_anti")
+        parts.append(saved(_links(texts, saved(rest))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``.
 
@@ -312,29 +413,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = max(1, -(-total // (5 * BLOCK_ENTRIES)))
     found = saved(_multiply(_entries(docs, _estimates(sets), blocks)))
     pairs = saved(found.filter("a is not null").select("a", "b").distinct())
-    links = saved(_links(docs, keys, pairs))
-    roots = connected_components(keys.select(F.col("k").alias("node")), links)
-
-    # Long columns whose rows are not all in one component yet: their rows meet in full.
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    links = saved(_links(_texts(docs, keys, ends), pairs))
+    nodes = keys.select(F.col("k").alias("node"))
+    roots = connected_components(nodes, links)
     large = found.filter("h is not null").select("h", "k", "n", "i")
-    labelled = large.join(roots.withColumnRenamed("node", "k"), "k")
-    open_columns = labelled.groupBy("h").agg(
-        F.min("root").alias("low"), F.max("root").alias("high")
-    ).filter("low <> high")
-    still = saved(labelled.join(open_columns.select("h"), "h", "left_semi"))
-    left, right = still.select("h", *[F.col(c).alias(f"{c}_a") for c in ("k", "n", "i", "root")]), still
-    n, m = F.col("n_a").cast("long"), F.col("n").cast("long")
-    more = (
-        left.join(right, "h")
-        .filter("k_a < k and root_a <> root")
-        .filter(F.least(n - F.col("i_a"), m - F.col("i")) * 9 >= 4 * (n + m))
-        .select(F.col("k_a").alias("a"), F.col("k").alias("b"))
-        .distinct()
-    )
-    more = saved(more.join(pairs, ["a", "b"], "left_anti"))
+    more = _unite(docs, keys, large, roots, pairs)
     if more.head(1):
-        links = saved(links.unionByName(_links(docs, keys, more)))
-        roots = connected_components(keys.select(F.col("k").alias("node")), links)
+        roots = connected_components(nodes, links.unionByName(more))
 
     members = keys.join(roots.withColumnRenamed("node", "k"), "k")
     least = members.groupBy("root").agg(F.min("rep").alias("component_id"))

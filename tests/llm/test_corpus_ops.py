@@ -4,6 +4,7 @@ from collections import Counter
 import hashlib
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from conftest import SF
@@ -243,6 +244,26 @@ def test_components_of_chains(spark):
     assert rows_of(jaccard.near_duplicates(df)) == brute_components(rows)
 
 
+def test_signatures_never_overstate_a_difference():
+    random = np.random.default_rng(3)
+    for _ in range(200):
+        pool = random.integers(0, 1 << 63, 400, dtype=np.uint64)
+        a, b = (np.unique(random.choice(pool, random.integers(1, 300), replace=False)) for _ in "ab")
+        bits = jaccard.signature(a) ^ jaccard.signature(b)
+        differ = int(np.unpackbits(bits.view(np.uint8)).sum())
+        assert differ <= len(np.setxor1d(a, b))
+
+
+def test_rows_that_pivots_leave_apart_still_meet(spark, monkeypatch):
+    """A chain of near copies: each links only with its neighbours, whatever pivot is chosen."""
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(j, " ".join(words[:50] + [f"x{j}"] * (j % 7) + words[50 + j % 9 :])) for j in range(40)]
+    rows += [(100 + j, " ".join([f"y{j + i}" for i in range(60)])) for j in range(0, 40, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(jaccard.near_duplicates(df)) == brute_components(rows)
+
+
 # --- decontamination ------------------------------------------------------------------------
 
 
