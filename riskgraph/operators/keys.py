@@ -19,6 +19,14 @@ RANGE_BUCKETS = 128
 SMALL_IDS = 100_000
 
 
+def _row_text(columns: Sequence[str]) -> Column:
+    """Text that differs for different rows: every value goes behind its length."""
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.concat(
+        *[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]
+    )
+
+
 def with_txn_key(df: DataFrame, name: str = "txn_key") -> DataFrame:
     """Add a reproducible unique key built from the row's own values.
 
@@ -26,7 +34,6 @@ def with_txn_key(df: DataFrame, name: str = "txn_key") -> DataFrame:
     a row repeated billions of times never sits in one task.
     """
     columns = df.columns
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]
     counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
     last_block = F.floor((F.col("_copies") - 1) / F.lit(COPIES_PER_BLOCK)).cast("long")
     blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
@@ -37,7 +44,7 @@ def with_txn_key(df: DataFrame, name: str = "txn_key") -> DataFrame:
     last = F.least(first + COPIES_PER_BLOCK, F.col("_copies")) - 1
     return (
         laid_out.withColumn("_copy", F.explode(F.sequence(first, last)))
-        .withColumn(name, F.concat_ws("-", F.md5(F.concat_ws("|", *text)), F.col("_copy")))
+        .withColumn(name, F.concat_ws("-", F.md5(_row_text(columns)), F.col("_copy")))
         .select(name, *columns)
     )
 
@@ -50,8 +57,7 @@ def with_row_key(
         return df
     if not key_columns:
         return with_txn_key(df, name)
-    text = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in key_columns]
-    return df.withColumn(name, F.md5(F.concat_ws("|", *text)))
+    return df.withColumn(name, F.md5(_row_text(key_columns)))
 
 
 def global_row_number(

@@ -121,6 +121,13 @@ def test_txn_key_is_unique_for_copies(spark, monkeypatch):
     assert out.select("txn_key").distinct().count() == len(rows)
 
 
+def test_keys_of_different_rows_differ(spark):
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "-"), ("-", None), ("\u0000", None), ("", "1:a"), ("1:a", "")]
+    df = spark.createDataFrame(rows, "s string, t string")
+    for out in (keys.with_txn_key(df), keys.with_row_key(df, ["s", "t"])):
+        assert out.select("txn_key").distinct().count() == len(rows)
+
+
 def test_unknown_ids_fall_to_zero(spark):
     ids = spark.createDataFrame([(5, 0), (9, 1)], "cust_id long, idx long")
     df = spark.createDataFrame([(9,), (7,), (None,)], "cust_id long")
