@@ -21,7 +21,8 @@ from riskgraph.llm.common import SPACES, saved, with_ids
 from riskgraph.operators.small import broadcast_when_small
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, MARKS = "#*$%&|<>", "!?"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Rule name: count above the bar and what it is a share of.
 RULES = {
     "symbols": ("n_symbols", "word_chars"),
@@ -91,14 +92,25 @@ def with_stats(docs: DataFrame) -> DataFrame:
     )
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, spaces) != "")
 
-    def gone(chars: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, chars, ""))
+    # One pass leaves only the characters that are counted; the counts then read short strings.
+    few = F.regexp_replace(text, f"[^{CAPITALS}{MARKS}{SYMBOLS}]+", "")
+
+    def counts(f: Column) -> Column:
+        def number(chars: str) -> Column:
+            return (F.length(f) - F.length(F.translate(f, chars, ""))).cast("long")
+
+        return F.struct(
+            number(SYMBOLS).alias("n_symbols"),
+            number(MARKS).alias("n_marks"),
+            number(CAPITALS).alias("n_capitals"),
+        )
 
     stats = F.struct(
         _let(
             words,
             lambda w: F.struct(
                 F.size(w).cast("long").alias("n_words"),
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
                 _repeat_words(w).cast("long").alias("n_repeat_words"),
             ),
         ).alias("w"),
@@ -109,23 +121,24 @@ def with_stats(docs: DataFrame) -> DataFrame:
                 (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             ),
         ).alias("l"),
-        F.length(F.translate(text, SPACES, "")).cast("long").alias("word_chars"),
-        gone(SYMBOLS).cast("long").alias("n_symbols"),
-        gone("!?").cast("long").alias("n_marks"),
-        gone("ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"),
+        _let(few, counts).alias("c"),
     )
     return docs.withColumn("_stats", stats)
 
 
-def _flat(s: str = "_stats") -> list[Column]:
-    inner = {"n_words": "w", "n_repeat_words": "w", "n_lines": "l", "n_dup_lines": "l"}
-    names = [
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "n_lines", "n_marks", "n_capitals",
-    ]
-    return [
-        (F.col(f"{s}.{inner[n]}.{n}") if n in inner else F.col(f"{s}.{n}")).alias(n) for n in names
-    ]
+# Part of ``_stats`` that holds each count.
+_PART = {
+    "n_words": "w", "word_chars": "w", "n_symbols": "c", "n_dup_lines": "l", "n_repeat_words": "w",
+    "n_lines": "l", "n_marks": "c", "n_capitals": "c",
+}
+
+
+def _count(name: str) -> Column:
+    return F.col(f"_stats.{_PART[name]}.{name}")
+
+
+def _flat() -> list[Column]:
+    return [_count(name).alias(name) for name in _PART]
 
 
 def _stratum() -> Column:
@@ -250,13 +263,12 @@ def judge(
     judged = with_stats(docs).join(
         broadcast_when_small(cuts), _stratum() == F.col("_stratum"), "left"
     )
-    w = F.col("_stats.w")
-    failed = (w["n_words"] < 50) | (100 * w["n_repeat_words"] > 50 * w["n_words"])
-    place = {"n_words": "w.", "n_repeat_words": "w.", "n_lines": "l.", "n_dup_lines": "l."}
+    words = _count("n_words")
+    failed = (words < 50) | (100 * _count("n_repeat_words") > 50 * words)
     over = F.lit(False)
     for rule, (count, of) in RULES.items():
-        count, of = (F.col(f"_stats.{place.get(c, '')}{c}") for c in (count, of))
-        over = over | F.coalesce(10000 * count > F.col(f"_cuts.cut_{rule}") * of, F.lit(False))
+        cut = F.col(f"_cuts.cut_{rule}")
+        over = over | F.coalesce(10000 * _count(count) > cut * _count(of), F.lit(False))
     return judged.select(
         *docs.columns,
         F.struct(*_flat(), failed.alias("base_failed"), (~failed & ~over).alias("kept")).alias(
