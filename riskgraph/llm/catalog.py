@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.llm import bpe, chat, decontaminate, jaccard, pii, quality, sharding, substring, toxicity, warc
-from riskgraph.llm.common import table
+from riskgraph.llm.common import saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,9 +49,9 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    measured = saved(quality.with_stats(docs).drop("text"))
+    judged = quality.judge_measured(measured, table(spark, sf_dir, "labels"))
     names = [
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
     ]

@@ -183,20 +183,22 @@ def binomial_tail(k: Column, n: Column, p: Column) -> Column:
     return F.when(k < n * p, F.least(F.exp(top) * whole, F.lit(1.0))).otherwise(F.lit(1.0))
 
 
+def _truth(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id is not null and quality in (0, 1)").select(
+        F.col("doc_id").alias("_id"), F.col("quality").alias("_good")
+    )
+
+
 def certified_cutoffs(
-    docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA
+    measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA
 ) -> DataFrame:
     """``stratum`` and one certified cutoff (ten-thousandths, null: rule off) per rule.
 
+    ``measured`` holds ``doc_id``, ``lang`` and ``_stats`` of the labelled documents at least.
     Every label row with a quality of 0 or 1 and a matching document counts once.
     """
-    truth = labels.filter("doc_id is not null and quality in (0, 1)").select(
-        F.col("doc_id").alias("_id"), F.col("quality").alias("_good")
-    )
-    ids = truth.select(F.col("_id").alias("doc_id")).distinct()
-    counted = with_stats(with_ids(docs.select("doc_id", "text", "lang"), ids)).select(
-        "doc_id", _stratum().alias("stratum"), *_flat()
-    )
+    truth = _truth(labels)
+    counted = measured.select("doc_id", _stratum().alias("stratum"), *_flat())
 
     def level(rule: str) -> Column:
         """Number of cutoffs that the document exceeds: it fails at that many strictest ones."""
@@ -254,13 +256,28 @@ def judge(
     """All rows and columns of ``docs`` plus ``_quality``: counts, ``base_failed`` and ``kept``.
 
     Every row gets a verdict, repeated rows the same one. Null or empty texts have no words and
-    fail the base. A null language is a stratum of its own.
+    fail the base. A null language is a stratum of its own. Labelled texts are measured a second
+    time; ``judge_measured`` on a saved table of counts measures each text once.
     """
-    cuts = certified_cutoffs(docs, labels, risk, delta)
+    ids = _truth(labels).select(F.col("_id").alias("doc_id")).distinct()
+    labelled = with_stats(with_ids(docs.select("doc_id", "text", "lang"), ids))
+    cuts = certified_cutoffs(labelled, labels, risk, delta)
+    return _with_verdicts(with_stats(docs), cuts, docs.columns)
+
+
+def judge_measured(
+    measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA
+) -> DataFrame:
+    """``judge`` for rows that ``with_stats`` has measured (``doc_id``, ``lang``, ``_stats``)."""
+    cuts = certified_cutoffs(measured, labels, risk, delta)
+    return _with_verdicts(measured, cuts, [c for c in measured.columns if c != "_stats"])
+
+
+def _with_verdicts(measured: DataFrame, cuts: DataFrame, columns: list[str]) -> DataFrame:
     cuts = cuts.select(
         F.col("stratum").alias("_stratum"), F.struct(*cuts.columns[1:]).alias("_cuts")
     )
-    judged = with_stats(docs).join(
+    judged = measured.join(
         broadcast_when_small(cuts), _stratum() == F.col("_stratum"), "left"
     )
     words = _count("n_words")
@@ -270,7 +287,7 @@ def judge(
         cut = F.col(f"_cuts.cut_{rule}")
         over = over | F.coalesce(10000 * _count(count) > cut * _count(of), F.lit(False))
     return judged.select(
-        *docs.columns,
+        *columns,
         F.struct(*_flat(), failed.alias("base_failed"), (~failed & ~over).alias("kept")).alias(
             "_quality"
         ),
