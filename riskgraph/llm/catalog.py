@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import bpe, chat, decontaminate, jaccard, pii, quality, sharding, substring, toxicity, warc
+from riskgraph.llm import (
+    bpe, chat, codes, decontaminate, jaccard, pii, quality, sharding, substring, toxicity, turns, warc,
+)
 from riskgraph.llm.common import saved, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -194,3 +196,61 @@ def op4_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes_with_label_errors(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(rounds: int) -> str:
+    """Kept vectors cut into integer parts, full searches for the nearest entry, floored means."""
+    with_parts = """
+with kept as (
+  select vec_id, label, embedding from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as (
+  select vec_id, label, p as part,
+         list_transform(embedding[p * (len(embedding) // 16) + 1 : (p + 1) * (len(embedding) // 16)],
+                        lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from kept, range(16) r(p)
+), b0 as (
+  select part, row_number() over (partition by part order by vec_id) - 1 as entry, v from parts
+  where vec_id in (select vec_id from kept order by vec_id limit 64)
+)"""
+    one_round = """, a{0} as (
+  select vec_id, any_value(label) as label, x.part,
+         min((list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - b.v[i]) * (x.v[i] - b.v[i]))),
+              entry)) as best, any_value(x.v) as v
+  from parts x join b{0} b on x.part = b.part group by vec_id, x.part
+)"""
+    replaced = """, b{1} as (
+  select b.part, b.entry, coalesce(m.v, b.v) as v from b{0} b left join (
+    select part, entry, list(cast(floor(s / n) as bigint) order by i) as v from (
+      select part, best[2] as entry, i, sum(v[i]) as s, count(*) as n
+      from (select part, best, v, unnest(range(1, len(v) + 1)) as i from a{0}) group by all
+    ) group by part, entry
+  ) m on m.part = b.part and m.entry = b.entry
+)"""
+    text = with_parts
+    for k in range(rounds):
+        text += one_round.format(k) + replaced.format(k, k + 1)
+    return text + one_round.format(rounds) + f""", c as (
+  select vec_id, any_value(label) as label, string_agg(printf('%02x', best[2]), '' order by part) as code,
+         cast(sum(best[1]) as bigint) as error from a{rounds} group by vec_id
+), d as (
+  select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256
+  from b{rounds}
+)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+       codebooks_sha256 from c, d
+"""
+
+
+ORACLES["op12_vector_codes"] = _codes_sql(codes.ROUNDS)
