@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.llm import (
-    bpe, chat, codes, decontaminate, jaccard, pii, quality, sharding, substring, toxicity, turns, warc,
+    bpe, chat, codes, decontaminate, factors, jaccard, pii, quality, sharding, substring, toxicity, turns, warc,
 )
 from riskgraph.llm.common import saved, table
 
@@ -254,3 +254,9 @@ select vec_id, code, error, cast(sum(error) over (partition by label) as bigint)
 
 
 ORACLES["op12_vector_codes"] = _codes_sql(codes.ROUNDS)
+
+
+@query
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return factors.score(docs, factors.fit(docs, table(spark, sf_dir, "labels")))
