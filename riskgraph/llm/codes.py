@@ -36,6 +36,8 @@ PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 LARGEST = 1 << 19
 # Distances that are held at once in a task.
 STEP_DISTANCES = 1 << 21
+# Neighbours by which one ring is wider than the next.
+RING = 16
 
 
 @dataclass
@@ -95,6 +97,8 @@ def assign_balls(
         near = near[np.lexsort((near, apart[ball, near]))]
         # A part meets the first neighbours up to twice its own distance: none in the stable core.
         ring = np.searchsorted(apart[ball, near], 4 * own[members], side="right")
+        # Rings are widened to a few sizes, so that a task makes few small searches.
+        ring = np.minimum(-(-ring // RING) * RING, len(near))
         for width in np.unique(ring[ring > 0]).tolist():
             inside = members[ring == width]
             # Ascending entries, its own among them, so that ties go to the lower index.
