@@ -23,17 +23,18 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard as zstd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.common import Words, chunks, gram_hashes, saved, with_ids
+from riskgraph.llm.bpe import slices
+from riskgraph.llm.common import Words, chunks, gram_hashes, mix, saved, with_ids
 from riskgraph.operators.components import connected_components
 
 SHINGLE = 5
-# Counters of the estimate of document counts: a fixed 16 MB on the driver and in every task. The
+# Counters of the estimate of document counts: a fixed 4 MB on the driver and in every task. The
 # estimate only orders shingles, so results do not depend on its size; common shingles sink the
 # better the more counters there are.
-SKETCH, SKETCH_BLOCKS = 1 << 24, 256
+SKETCH, SKETCH_BLOCKS = 1 << 22, 64
 # Entries of a column block, and rows of a column that are multiplied out directly.
 BLOCK_ENTRIES, PAIR_ROWS = 1_000_000, 2
 FLUSH_ENTRIES = 500_000
@@ -84,41 +85,43 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-_SETS = "doc_id long, n int, k long, block int, counts binary"
+_SETS = "doc_id long, n int, k long, bits array<bigint>, block int, counts binary"
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Size and identity of every set; rows with a block hold the counters of a task."""
+    """Size, identity and signature of every set; rows with a block hold the counters of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(SKETCH, dtype=np.uint8)  # saturating
 
-        def rows(ids, sizes, keys, blocks, counts) -> pa.RecordBatch:
+        def rows(ids, sizes, keys, bits, blocks, counts) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()),
-                    pa.array(blocks, pa.int32()), pa.array(counts, pa.binary()),
+                    pa.array(bits, pa.list_(pa.int64())), pa.array(blocks, pa.int32()),
+                    pa.array(counts, pa.binary()),
                 ],
-                names=["doc_id", "n", "k", "block", "counts"],
+                names=["doc_id", "n", "k", "bits", "block", "counts"],
             )
 
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, bits = [], [], []
             for words in chunks(batch["text"], lower=True):
                 sets = list(shingle_sets(words))
                 sizes += map(len, sets)
                 keys += map(set_key, sets)
+                bits += map(signature, sets)
                 if sets:
                     slots, more = np.unique(np.concatenate(sets) % SKETCH, return_counts=True)
                     counters[slots] = np.minimum(counters[slots] + more, 255)
             none = [None] * len(sizes)
-            yield rows(batch["doc_id"], sizes, keys, none, none)
+            yield rows(batch["doc_id"], sizes, keys, bits, none, none)
         pack = zstd.ZstdCompressor(level=1).compress
         split = np.split(counters, SKETCH_BLOCKS)
         used = [i for i, c in enumerate(split) if c.any()]
         parts = [pack(split[i].tobytes()) for i in used]
         none = [None] * len(used)
-        yield rows(none, none, none, used, parts)
+        yield rows(none, none, none, none, used, parts)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
 
@@ -202,19 +205,44 @@ def _pairs_of(n: np.ndarray, i: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.
     return rest >= needed(n[a].astype(np.int64), n[b])
 
 
-_FOUND = "a long, b long, h long, k long, n int, i int"
+_FOUND = "a long, b long, h long, k long, n int, i int, own boolean"
+
+
+def size_class(n: np.ndarray) -> np.ndarray:
+    """Logarithmic class of a set's size: linked sets lie in the same class or in neighbouring ones."""
+    return np.floor(np.log(n) / np.log(1.25) + 1e-9).astype(np.int64)
+
+
+def cells(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of columns dealt by (column, size class), and whether a row belongs to its cell's class.
+
+    A cell holds the rows of its own class and of the class below, so rows that can be linked meet
+    in one where at least one of them is its own. ``h`` becomes the cell. Cells without two rows,
+    or without a row of their own, are left out.
+    """
+    e = np.concatenate([e, e])
+    own = np.arange(len(e)) < len(e) // 2
+    kind = size_class(e["n"]) + ~own
+    e["h"] = mix(e["h"] + mix(kind.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(e["h"], kind="stable")
+    e, own = e[order], own[order]
+    starts = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]])) if len(e) else []
+    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(e)))).astype(np.int64)
+    rows, owned = np.bincount(group), np.bincount(group, weights=own)
+    good = (rows[group] > 1) & (owned[group] > 0) if len(e) else np.zeros(0, dtype=bool)
+    return e[good], own[good]
 
 
 def _multiply(entries: DataFrame) -> DataFrame:
-    """Candidate pairs (``a, b``) of every column block, and the entries of long columns."""
+    """Candidate pairs (``a, b``) of every column block, and the entries of long columns by cell."""
 
-    def out(a, b, large: np.ndarray) -> pa.Table:
+    def out(a, b, large: np.ndarray, own: np.ndarray) -> pa.Table:
         none = lambda kind: pa.nulls(len(large), kind)
         gone = lambda kind: pa.nulls(len(a), kind)
         pairs = [pa.array(a, pa.int64()), pa.array(b, pa.int64())]
-        pairs += [gone(pa.int64()), gone(pa.int64()), gone(pa.int32()), gone(pa.int32())]
+        pairs += [gone(pa.int64()), gone(pa.int64()), gone(pa.int32()), gone(pa.int32()), gone(pa.bool_())]
         rows = [none(pa.int64()), none(pa.int64()), pa.array(large["h"].view("<i8") if len(large) else [], pa.int64())]
-        rows += [pa.array(large["k"].copy()), pa.array(large["n"].copy()), pa.array(large["i"].copy())]
+        rows += [pa.array(large["k"].copy()), pa.array(large["n"].copy()), pa.array(large["i"].copy()), pa.array(own)]
         names = [part.split()[0] for part in _FOUND.split(", ")]
         return pa.concat_tables([pa.table(pairs, names=names), pa.table(rows, names=names)])
 
@@ -263,49 +291,68 @@ def _multiply(entries: DataFrame) -> DataFrame:
         low, high = low[order], high[order]
         new = np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]) if len(a) else []
         new = np.asarray(new, dtype=bool)
-        yield from out(low[new], high[new], large).combine_chunks().to_batches()
+        yield from out(low[new], high[new], *cells(large)).combine_chunks().to_batches()
 
     return entries.groupBy("block").applyInArrow(run, _FOUND)
 
 
-def _texts(docs: DataFrame, keys: DataFrame, ends: DataFrame) -> DataFrame:
-    """One text (``k, text``) and signature (``bits``) of each set in the one-column frame ``ends``.
+def _differ(left: str, right: str) -> Column:
+    """Number of bits in which two signature columns differ."""
+    words = range(SIGNATURE // 64)
+    return reduce(add, [F.bit_count(F.col(left)[j].bitwiseXOR(F.col(right)[j])) for j in words])
 
-    ``keys`` names one document of each set (``k, rep``).
-    """
+
+def _signatures(sets: DataFrame, ends: DataFrame) -> DataFrame:
+    """``k, n, bits`` of the sets in the one-column frame ``ends``."""
+    return saved(sets.join(ends, "k", "left_semi").select("k", "n", "bits").dropDuplicates(["k"]))
+
+
+def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose signatures allow a link: linked sets differ in at most a ninth of ``n + m``."""
+    known = _signatures(sets, pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct())
+    left, right = (
+        known.select(F.col("k").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+        for c in "ab"
+    )
+    sides = pairs.join(left, "a").join(right, "b")
+    fits = _differ("bits_a", "bits_b") * 9 <= F.col("n_a") + F.col("n_b")
+    return saved(sides.filter(fits).select("a", "b"))
+
+
+def _texts(docs: DataFrame, keys: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One text (``k, text``) of each end of the pairs; ``keys`` names one document of each set (``k, rep``)."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     wanted = saved(keys.join(ends, "k", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k, bits = [], []
-            for words in chunks(batch["text"], lower=True):
-                for s in shingle_sets(words):
-                    k.append(set_key(s))
-                    bits.append(signature(s))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(k, pa.int64()), pa.array(bits, pa.list_(pa.int64())), batch["text"]],
-                names=["k", "bits", "text"],
-            )
+            k = [set_key(s) for words in chunks(batch["text"], lower=True) for s in shingle_sets(words)]
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), batch["text"]], names=["k", "text"])
 
     texts = (
         with_ids(docs.select(F.col("doc_id").cast("long"), "text"), wanted)
-        .mapInArrow(name, "k long, bits array<bigint>, text string")
+        .mapInArrow(name, "k long, text string")
         .dropDuplicates(["k"])
     )
     return saved(texts)
 
 
-def _links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs of set identities whose exact similarity is at least 4/5."""
+def _links(docs: DataFrame, keys: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Pairs of set identities whose exact similarity is at least 4/5.
+
+    Only pairs that pass the signatures are counted on their texts.
+    """
+    pairs = _likely(pairs, sets)
+    texts = _texts(docs, keys, pairs)
     sides = pairs.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a"
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text_b")):
             left = batch["a"].to_pylist()
             new = [j for j, key in enumerate(left) if j == 0 or key != left[j - 1]]
-            firsts = pa.array([batch["text_a"][j].as_py() for j in new], pa.string())
+            firsts = batch["text_a"].take(pa.array(new, pa.int64()))
             pivots = (s for words in chunks(firsts, lower=True) for s in shingle_sets(words))
             others = (s for words in chunks(batch["text_b"], lower=True) for s in shingle_sets(words))
             good, starts, pivot = [], set(new), None
@@ -317,7 +364,7 @@ def _links(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                     good.append(j)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
+    return saved(sides.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))
 
 
 def _open_rows(large: DataFrame, roots: DataFrame) -> tuple[DataFrame, float]:
@@ -336,36 +383,37 @@ def _open_rows(large: DataFrame, roots: DataFrame) -> tuple[DataFrame, float]:
     return with_ids(labelled, apart.select("h"), "h"), total
 
 
-def _apart(left: DataFrame, right: DataFrame, same: bool = False) -> DataFrame:
-    """Pairs of a column's rows in different components, as ``a < b``; ``same`` tells that both frames are one.
+def _apart(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of a cell's rows in different components, as ``a < b``.
 
-    A pair is left out where its sizes and places, or the bits in which the signatures differ,
-    show that it falls short of the overlap: linked sets differ in at most a ninth of ``n + m``.
+    A pair is left out where its sizes and places, or the signatures if the rows have them, show
+    that it falls short of the overlap. If both frames are one, each pair is met once.
     """
-    left = left.select("h", *[F.col(c).alias(f"{c}_a") for c in ("k", "n", "i", "root", "bits")])
-    n, m = F.col("n_a").cast("long"), F.col("n").cast("long")
-    words = range(SIGNATURE // 64)
-    differ = reduce(add, [F.bit_count(F.col("bits_a")[j].bitwiseXOR(F.col("bits")[j])) for j in words])
-    return (
-        left.join(right, "h")
-        .filter("root_a <> root and k_a < k" if same else "root_a <> root")
-        .filter(F.least(n - F.col("i_a"), m - F.col("i")) * 9 >= 4 * (n + m))
-        .filter(differ * 9 <= n + m)
-        .select(F.least("k_a", "k").alias("a"), F.greatest("k_a", "k").alias("b"))
-    )
+    fits = F.least(F.col("n_a").cast("long") - F.col("i_a"), F.col("n").cast("long") - F.col("i")) * 9
+    total = F.col("n_a").cast("long") + F.col("n")
+    allowed = F.expr("root_a <> root and (own_a or own)") & (fits >= 4 * total)
+    if "bits" in left.columns and "bits" in right.columns:
+        allowed &= _differ("bits_a", "bits") * 9 <= total
+    if left is right:
+        allowed &= F.expr("k_a < k")
+    left = left.select("h", *[F.col(c).alias(f"{c}_a") for c in left.columns if c != "h"])
+    pairs = left.join(right, "h").filter(allowed)
+    return pairs.select(F.least("k_a", "k").alias("a"), F.greatest("k_a", "k").alias("b")).distinct()
 
 
 def _pivots(still: DataFrame, number: int) -> DataFrame:
-    """A few rows of every column: the least ones by a hash that differs from round to round."""
+    """A few rows of every cell: the least ones by a hash that differs from round to round."""
     least = [
-        F.min(F.struct(F.xxhash64("k", F.lit(number * PIVOTS + j)).alias("order"), "k", "n", "i", "root", "bits"))
+        F.min(F.struct(F.xxhash64("k", F.lit(number * PIVOTS + j)).alias("order"), "k", "n", "i", "root", "own"))
         for j in range(PIVOTS)
     ]
     rows = still.groupBy("h").agg(F.array_distinct(F.array(*least)).alias("p"))
     return rows.select("h", F.inline("p")).drop("order")
 
 
-def _unite(docs: DataFrame, keys: DataFrame, large: DataFrame, roots: DataFrame, pairs: DataFrame) -> DataFrame:
+def _unite(
+    docs: DataFrame, keys: DataFrame, sets: DataFrame, large: DataFrame, roots: DataFrame, pairs: DataFrame
+) -> DataFrame:
     """Links between rows of long columns that the first pivots left in different components.
 
     Rows meet new pivots as long as a round at least halves the pairs in different components;
@@ -373,14 +421,10 @@ def _unite(docs: DataFrame, keys: DataFrame, large: DataFrame, roots: DataFrame,
     compared before.
     """
     still, apart = _open_rows(large, roots)
-    if not apart:
-        return pairs.limit(0)
-    texts = _texts(docs, keys, still.select("k").distinct())
-    still = still.join(texts.select("k", "bits"), "k")
-    parts, number = [], 0
+    parts, number = [pairs.limit(0)], 0
     while apart:
-        more = saved(_apart(_pivots(still, number), still).distinct().join(pairs, ["a", "b"], "left_anti"))
-        links = saved(_links(texts, more))
+        more = saved(_apart(_pivots(still, number), still).join(pairs, ["a", "b"], "left_anti"))
+        links = _links(docs, keys, sets, more)
         parts.append(links)
         pairs = pairs.unionByName(more)
         known = still.select(F.col("k").alias("a"), F.col("root").alias("b"))
@@ -392,8 +436,10 @@ def _unite(docs: DataFrame, keys: DataFrame, large: DataFrame, roots: DataFrame,
         if 2 * apart > before:
             break
     if apart:
-        rest = _apart(still, still, same=True).distinct().join(pairs, ["a", "b"], "left_anti")
-        parts.append(saved(_links(texts, saved(rest))))
+        known = _signatures(sets, still.select("k").distinct()).select("k", "bits")
+        still = still.join(known, "k")
+        rest = saved(_apart(still, still).join(pairs, ["a", "b"], "left_anti"))
+        parts.append(_links(docs, keys, sets, rest))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -413,12 +459,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = max(1, -(-total // (5 * BLOCK_ENTRIES)))
     found = saved(_multiply(_entries(docs, _estimates(sets), blocks)))
     pairs = saved(found.filter("a is not null").select("a", "b").distinct())
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    links = saved(_links(_texts(docs, keys, ends), pairs))
+    named = sets.filter("block is null and n > 0")
+    links = _links(docs, keys, named, pairs)
     nodes = keys.select(F.col("k").alias("node"))
     roots = connected_components(nodes, links)
-    large = found.filter("h is not null").select("h", "k", "n", "i")
-    more = _unite(docs, keys, large, roots, pairs)
+    large = found.filter("h is not null").select("h", "k", "n", "i", "own")
+    more = _unite(docs, keys, named, large, roots, pairs)
     if more.head(1):
         roots = connected_components(nodes, links.unionByName(more))
 
