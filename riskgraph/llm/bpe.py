@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +19,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 MAX_RANK_BYTES = 64 << 20
 # Longer texts are encoded in blocks of about so many characters.
 BLOCK_CHARS = 1 << 16
-# Runs of one kind longer than this are looked for before a block is handed over.
+# Runs of white space from this length on are merged without the pattern: its look-ahead would
+# need a stack as deep as the run.
 LONG_RUN = 1 << 12
 
-# No match of the pattern holds a letter or digit followed by white space or by a character of
-# another kind, so a text may be cut there without moving any match.
-_CUT = re.compile(r"(?<=[A-Za-z])(?=[ \n\t0-9.,;:!?|])|(?<=[0-9])(?=[ \n\tA-Za-z.,;:!?|])")
+# White space of the pattern (fixed by Unicode; Python's \s also takes the separators 0x1C to 0x1F).
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# No match holds a character followed by white space unless it is white space itself, nor a
+# letter next to a number, nor a letter or number next to punctuation or a symbol, except for
+# an apostrophe before a letter. A text may be cut there without moving any match.
+_CUT = regex.compile(
+    rf"(?<=[^{_SPACE}])(?=[{_SPACE}])|(?<=\p{{L}})(?=[\p{{N}}\p{{P}}\p{{S}}])"
+    r"|(?<=\p{N})(?=[\p{L}\p{P}\p{S}])|(?<=[\p{P}\p{S}--'])(?=[\p{L}\p{N}])",
+    regex.V1,
+)
 
 _CODECS: dict[str, tiktoken.Encoding] = {}
 
@@ -43,7 +51,10 @@ def _codec(ranks: bytes, pattern: str) -> tiktoken.Encoding:
 
 
 def blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
-    """Parts of a text whose ids, joined, are the ids of the text."""
+    """Parts of a text whose ids, joined, are the ids of the text.
+
+    A part is longer than two sizes only where one match or run of white space is.
+    """
     at = 0
     while len(text) - at > 2 * size:
         cut = _CUT.search(text, at + size)
@@ -54,11 +65,32 @@ def blocks(text: str, size: int = BLOCK_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
+def parts(text: str, size: int = BLOCK_CHARS, run: int = LONG_RUN) -> Iterator[tuple[str, bool]]:
+    """Parts as of ``blocks``, and whether a part is one match by itself.
+
+    A run of white space is one match, without its last character where a text follows: that one
+    belongs to what follows. Runs of at least ``run`` characters are handed over as such matches.
+    """
+    at = 0
+    for found in regex.finditer(rf"[{_SPACE}]{{{max(run, 2)},}}", text):
+        if found.start() > at:
+            yield from ((part, False) for part in blocks(text[at : found.start()], size))
+        at = found.end() if found.end() == len(text) else found.end() - 1
+        yield text[found.start() : at], True
+    if at < len(text):
+        yield from ((part, False) for part in blocks(text[at:], size))
+
+
 def encode_text(codec: tiktoken.Encoding, text: str) -> np.ndarray:
     if len(text) <= 2 * BLOCK_CHARS:
         return codec.encode_to_numpy(text, disallowed_special=())
-    parts = [codec.encode_to_numpy(part, disallowed_special=()) for part in blocks(text)]
-    return np.concatenate(parts)
+    ids = [
+        np.array(codec._encode_single_piece(part), dtype=np.uint32)
+        if whole
+        else codec.encode_to_numpy(part, disallowed_special=())
+        for part, whole in parts(text)
+    ]
+    return np.concatenate(ids)
 
 
 def _rank_bytes(path: str) -> bytes:
@@ -75,9 +107,12 @@ def encode(
     """Add the array of rank ids of a text column.
 
     A null text counts as empty and gives an empty array. Every match of ``pattern`` is merged
-    separately; strings that look like special tokens are ordinary text. Long texts are cut at
-    places where no match can cross. An existing column named ``ids`` is replaced. The rank file
-    (at most 64 MiB) is read by the driver and sent to the executors.
+    separately; strings that look like special tokens are ordinary text. Texts of any length are
+    taken: long ones are cut at places where no match can cross, and long runs of white space are
+    merged as the one match that they are; ``pattern`` must match words, numbers, other characters
+    and white space in such runs. Repeated rows are encoded like all others. An existing column
+    named ``ids`` is replaced. The rank file (at most 64 MiB) is read by the driver and sent to the
+    executors.
     """
     shared = df.sparkSession.sparkContext.broadcast(_rank_bytes(rank_file))
     kept = [c for c in df.columns if c != ids]
