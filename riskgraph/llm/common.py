@@ -47,6 +47,23 @@ def with_ids(df: DataFrame, ids: DataFrame, key: str = "doc_id", known: int | No
     return df.join(small, key, "left_semi")
 
 
+def wrapped(docs: DataFrame, *named: str) -> DataFrame:
+    """The named columns, null strings where missing, and all others inside the column ``row``.
+
+    Whatever the others are called, they cannot clash with columns that an operator adds.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in named]
+    own = [F.col(c) if c in docs.columns else F.lit(None).cast("string").alias(c) for c in named]
+    return docs.select(*own, F.struct(*(rest or [F.lit(0).alias("_")])).alias("row"))
+
+
+def unwrapped(df: DataFrame, columns: list[str], *named: str) -> DataFrame:
+    """The columns of the table that ``wrapped`` took, then the named ones of ``df``."""
+    inner = df.schema["row"].dataType.names
+    kept = [F.col(f"row.`{c}`").alias(c) if c in inner else F.col(c) for c in columns]
+    return df.select(*kept, *named)
+
+
 def pack_rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema

@@ -85,7 +85,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
-_SETS = "doc_id long, n int, k long, bits array<bigint>, block int, counts binary"
+_SETS = "doc_id long, tag long, n int, k long, bits array<bigint>, block int, counts binary"
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -94,14 +94,14 @@ def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(SKETCH, dtype=np.uint8)  # saturating
 
-        def rows(ids, sizes, keys, bits, blocks, counts) -> pa.RecordBatch:
+        def rows(ids, tags, sizes, keys, bits, blocks, counts) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.int64()),
-                    pa.array(bits, pa.list_(pa.int64())), pa.array(blocks, pa.int32()),
-                    pa.array(counts, pa.binary()),
+                    pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), pa.array(sizes, pa.int32()),
+                    pa.array(keys, pa.int64()), pa.array(bits, pa.list_(pa.int64())),
+                    pa.array(blocks, pa.int32()), pa.array(counts, pa.binary()),
                 ],
-                names=["doc_id", "n", "k", "bits", "block", "counts"],
+                names=["doc_id", "tag", "n", "k", "bits", "block", "counts"],
             )
 
         for batch in batches:
@@ -115,15 +115,17 @@ def _sets(docs: DataFrame) -> DataFrame:
                     slots, more = np.unique(np.concatenate(sets) % SKETCH, return_counts=True)
                     counters[slots] = np.minimum(counters[slots] + more, 255)
             none = [None] * len(sizes)
-            yield rows(batch["doc_id"], sizes, keys, bits, none, none)
+            yield rows(batch["doc_id"], batch["tag"], sizes, keys, bits, none, none)
         pack = zstd.ZstdCompressor(level=1).compress
         split = np.split(counters, SKETCH_BLOCKS)
         used = [i for i, c in enumerate(split) if c.any()]
         parts = [pack(split[i].tobytes()) for i in used]
         none = [None] * len(used)
-        yield rows(none, none, none, none, used, parts)
+        yield rows(none, none, none, none, none, used, parts)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
+    tag = F.col("tag") if "tag" in docs.columns else F.lit(None)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", tag.cast("long").alias("tag"))
+    return rows.mapInArrow(run, _SETS)
 
 
 def _estimates(sets: DataFrame) -> np.ndarray:
@@ -220,16 +222,17 @@ def cells(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     in one where at least one of them is its own. ``h`` becomes the cell. Cells without two rows,
     or without a row of their own, are left out.
     """
+    if not len(e):
+        return e, np.zeros(0, dtype=bool)
     e = np.concatenate([e, e])
     own = np.arange(len(e)) < len(e) // 2
     kind = size_class(e["n"]) + ~own
     e["h"] = mix(e["h"] + mix(kind.astype(np.uint64) + np.uint64(1)))
     order = np.argsort(e["h"], kind="stable")
     e, own = e[order], own[order]
-    starts = np.flatnonzero(np.concatenate([[True], e["h"][1:] != e["h"][:-1]])) if len(e) else []
-    group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(e)))).astype(np.int64)
-    rows, owned = np.bincount(group), np.bincount(group, weights=own)
-    good = (rows[group] > 1) & (owned[group] > 0) if len(e) else np.zeros(0, dtype=bool)
+    new = np.concatenate([[True], e["h"][1:] != e["h"][:-1]])
+    cell = np.cumsum(new) - 1
+    good = (np.bincount(cell)[cell] > 1) & (np.bincount(cell, weights=own)[cell] > 0)
     return e[good], own[good]
 
 
@@ -449,10 +452,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ``component_id`` is the smallest id reachable by links, its own where there are none. Null
     and empty texts have no shingles and no links. Rows without an id get a null component and
     link nothing. Repeated rows share a component; an id with several texts is judged text by
-    text. Sets are told apart by 64-bit hashes.
+    text. Texts may be of any length. Ties in the order of shingles and pivots are broken by hash;
+    the result does not depend on them. Sets are told apart by 64-bit hashes. Columns other than
+    ``doc_id`` and ``text`` are ignored.
+    """
+    return tagged_duplicates(docs.select("doc_id", "text")).drop("tag", "root")
+
+
+def tagged_duplicates(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the number ``tag`` of each row, which tells the texts of an id apart.
+
+    ``root`` names the component: texts of one id may lie in different ones with the same smallest id.
     """
     sets = saved(_sets(docs))
-    rows = sets.filter("block is null").select("doc_id", "n", "k")
+    rows = sets.filter("block is null").select("doc_id", "tag", "n", "k")
     named = rows.filter("doc_id is not null and n > 0")
     keys = named.groupBy("k").agg(F.min("doc_id").alias("rep"))
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -470,11 +483,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     members = keys.join(roots.withColumnRenamed("node", "k"), "k")
     least = members.groupBy("root").agg(F.min("rep").alias("component_id"))
-    component = members.join(least, "root").select("k", "component_id")
+    component = members.join(least, "root").select("k", "component_id", "root")
     return rows.join(component, "k", "left").select(
         "doc_id",
+        "tag",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("_c"),
+        "root",
     ).select(
-        "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("_c")).alias("component_id")
+        "doc_id", "tag", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("_c")).alias("component_id"), "root"
     )

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -279,11 +280,14 @@ def find(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
     """All rows of ``docs`` with ``_spans`` (code points, end exclusive) and ``_redacted``.
 
     A null text has no spans and stays null. Repeated rows get equal results. ``weights`` are
-    fitted on ``docs`` when not given.
+    fitted on ``docs`` when not given. Existing columns named ``_spans`` or ``_redacted`` are
+    replaced.
     """
     weights = train(docs) if weights is None else weights
+    docs = docs.drop("_spans", "_redacted")
     names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = T.StructType([*docs.schema.fields])
+    schema = schema.add("_spans", T._parse_datatype_string(SPANS)).add("_redacted", T.StringType())
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,4 +302,4 @@ def find(docs: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
                 names=[*names, "_spans", "_redacted"],
             )
 
-    return docs.mapInArrow(run, f"{fields}, _spans {SPANS}, _redacted string")
+    return docs.mapInArrow(run, schema)

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskgraph.llm.common import SPACES, saved, with_ids
+from riskgraph.llm.common import SPACES, saved, unwrapped, with_ids, wrapped
 from riskgraph.operators.small import broadcast_when_small
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -256,13 +256,17 @@ def judge(
     """All rows and columns of ``docs`` plus ``_quality``: counts, ``base_failed`` and ``kept``.
 
     Every row gets a verdict, repeated rows the same one. Null or empty texts have no words and
-    fail the base. A null language is a stratum of its own. Labelled texts are measured a second
+    fail the base. A null language is a stratum of its own, as is a table without ``lang``. Texts
+    may be of any length; other columns may have any names, and one called ``_quality`` is
+    replaced. Labelled texts are measured a second
     time; ``judge_measured`` on a saved table of counts measures each text once.
     """
     ids = _truth(labels).select(F.col("_id").alias("doc_id")).distinct()
-    labelled = with_stats(with_ids(docs.select("doc_id", "text", "lang"), ids))
+    plain = wrapped(docs, "doc_id", "text", "lang")
+    labelled = with_stats(with_ids(plain.select("doc_id", "text", "lang"), ids))
     cuts = certified_cutoffs(labelled, labels, risk, delta)
-    return _with_verdicts(with_stats(docs), cuts, docs.columns)
+    judged = _with_verdicts(with_stats(plain), cuts, plain.columns)
+    return unwrapped(judged, [c for c in docs.columns if c != "_quality"], "_quality")
 
 
 def judge_measured(
