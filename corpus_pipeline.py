@@ -3,64 +3,82 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.llm import bpe, decontaminate, jaccard, pii, quality
-from riskgraph.llm.common import BROADCAST_IDS, saved, shared_path, table
+from riskgraph.llm.common import BROADCAST_IDS, saved, shared_path, table, unwrapped, wrapped
 
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is not among the distinct ids; rows without an id stay."""
-    ids = saved(ids)
-    dropped = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.join(dropped, "doc_id", "left_anti")
+def _identity() -> Column:
+    """A row's identity: rows of one id with different texts are judged one by one."""
+    return F.xxhash64("doc_id", "text")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows whose identity is not among those of the one-column frame ``rows``."""
+    rows = saved(rows.distinct())
+    dropped = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+    plain = wrapped(docs, "doc_id", "text").withColumn("_identity", _identity())
+    return unwrapped(plain.join(dropped, "_identity", "left_anti"), docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base and the certified rules; repeated rows share their fate."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
-    return judged.filter("_quality.kept").select(*docs.columns)
+    """Documents that pass the base and the certified rules; repeated rows share their fate.
+
+    Rows are measured once and saved with their counts, then judged.
+    """
+    measured = saved(quality.with_stats(wrapped(docs, "doc_id", "text", "lang")))
+    judged = quality.judge_measured(measured, table(spark, sf_dir, "labels"))
+    return unwrapped(judged.filter("_quality.kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group.
+    """One row of each group of linked rows: that of the smallest id, then of the least text hash.
 
-    Rows without an id, or without shingles, are no copies and stay; rows repeating the id that
-    stays are reduced to one.
+    Of rows that repeat its id and text one stays. Rows without an id, or without shingles, are
+    no copies and stay.
     """
-    groups = saved(jaccard.near_duplicates(docs.select("doc_id", "text")))
-    # An id all of whose rows belong to groups of smaller ids goes.
-    gone = groups.filter("doc_id is not null").groupBy("doc_id").agg(
-        F.min("component_id").alias("least"), F.max("component_id").alias("most"),
-        F.count(F.lit(1)).alias("rows"),
-    )
-    kept = _without(docs, gone.filter("least < doc_id").select("doc_id"))
-    repeated = gone.filter("least = doc_id and rows > 1").select("doc_id")
+    tagged = docs.select("doc_id", "text", _identity().alias("tag"))
+    groups = saved(jaccard.tagged_duplicates(tagged).filter("doc_id is not null and n_shingles > 0"))
+    rows = groups.groupBy("root", "doc_id", "tag").agg(F.count(F.lit(1)).alias("rows"))
+    first = groups.groupBy("root").agg(
+        F.min(F.struct("doc_id", "tag")).alias("first"), F.count(F.lit(1)).alias("total")
+    )
+    several = saved(rows.join(first.filter("total > 1").drop("total"), "root"))
+    stays = F.expr("doc_id = first.doc_id and tag = first.tag")
+    kept = _without(docs, several.filter(~stays).select(F.col("tag").alias("_identity")))
+    repeated = saved(several.filter(stays & (F.col("rows") > 1)).select(F.col("tag").alias("_identity")))
     if not repeated.head(1):
         return kept
-    again = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(again)
+    small = F.broadcast(repeated) if repeated.count() <= BROADCAST_IDS else repeated
+    plain = wrapped(kept, "doc_id", "text").withColumn("_identity", _identity())
+    # Partial aggregates reduce the copies of a row before they are shuffled.
+    again = plain.join(small, "_identity", "left_semi").groupBy("_identity").agg(
+        *[F.first(c).alias(c) for c in ("doc_id", "text", "row")]
+    )
+    single = plain.join(small, "_identity", "left_anti")
+    return unwrapped(single, docs.columns).unionByName(unwrapped(again, docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, hits.select("doc_id").filter("doc_id is not null").distinct())
+    """Rows whose text holds no benchmark item, with or without an id."""
+    rows = docs.select(_identity().alias("doc_id"), "text")
+    hits = decontaminate.contaminated(rows, table(spark, sf_dir, "benchmark"))
+    return _without(docs, hits.select(F.col("doc_id").alias("_identity")))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind and ``n_chars`` counted anew."""
-    weights = pii.train(docs)
-    found = pii.find(docs, weights)
+    found = pii.find(wrapped(docs, "text", "n_chars"), pii.train(docs.select("text")))
     clean = F.col("_redacted")
-    changed = {"text": clean}
-    if "n_chars" in docs.columns:
-        length = F.length(clean).cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.size("_spans") > 0, length).otherwise(F.col("n_chars"))
-    return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    counted = F.length(clean).cast(found.schema["n_chars"].dataType)
+    changed = found.withColumns(
+        {"text": clean, "n_chars": F.when(F.size("_spans") > 0, counted).otherwise(F.col("n_chars"))}
+    )
+    return unwrapped(changed, docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
