@@ -36,7 +36,7 @@ SHINGLE = 5
 # better the more counters there are.
 SKETCH, SKETCH_BLOCKS = 1 << 22, 64
 # Entries of a column block, and rows of a column that are multiplied out directly.
-BLOCK_ENTRIES, PAIR_ROWS = 1_000_000, 2
+BLOCK_ENTRIES, PAIR_ROWS = 250_000, 2
 FLUSH_ENTRIES = 500_000
 # Bits of a set's signature.
 SIGNATURE = 1024
