@@ -12,27 +12,28 @@ from riskgraph.llm.common import BROADCAST_IDS, saved, shared_path, table, unwra
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def _identity() -> Column:
+def _identity(*columns: str) -> Column:
     """A row's identity: rows of one id with different texts are judged one by one."""
-    return F.xxhash64("doc_id", "text")
+    return F.xxhash64("doc_id", "text", *columns)
 
 
-def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+def _without(docs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     """Rows whose identity is not among those of the one-column frame ``rows``."""
     rows = saved(rows.distinct())
     dropped = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
-    plain = wrapped(docs, "doc_id", "text").withColumn("_identity", _identity())
+    plain = wrapped(docs, "doc_id", "text", *columns).withColumn("_identity", _identity(*columns))
     return unwrapped(plain.join(dropped, "_identity", "left_anti"), docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and the certified rules; repeated rows share their fate.
 
-    Rows are measured once and saved with their counts, then judged.
+    Texts are measured once; their counts are saved and judged.
     """
-    measured = saved(quality.with_stats(wrapped(docs, "doc_id", "text", "lang")))
-    judged = quality.judge_measured(measured, table(spark, sf_dir, "labels"))
-    return unwrapped(judged.filter("_quality.kept"), docs.columns)
+    plain = wrapped(docs, "doc_id", "text", "lang").drop("row")
+    counted = quality.with_stats(plain.withColumn("_identity", _identity("lang"))).drop("text")
+    judged = quality.judge_measured(saved(counted), table(spark, sf_dir, "labels"))
+    return _without(docs, judged.filter("not _quality.kept").select("_identity"), "lang")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
