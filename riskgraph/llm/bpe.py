@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from riskgraph.llm.common import released
+
 # Rank files up to this size are sent to the executors.
 MAX_RANK_BYTES = 64 << 20
 # Longer texts are encoded in blocks of about so many characters.
@@ -114,11 +116,23 @@ def encode(
     named ``ids`` is replaced. The rank file (at most 64 MiB) is read by the driver and sent to the
     executors.
     """
+    return _coded(df, rank_file, pattern, text, ids, None)
+
+
+def round_trip(
+    df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the texts: the ids go to one Python task only."""
+    return _coded(df, rank_file, pattern, text, ids, decoded)
+
+
+def _coded(df: DataFrame, rank_file: str, pattern: str, text: str, ids: str, decoded: str | None) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(_rank_bytes(rank_file))
-    kept = [c for c in df.columns if c != ids]
+    kept = [c for c in df.columns if c not in (ids, decoded)]
     schema = T.StructType([df.schema[c] for c in kept]).add(ids, T.ArrayType(T.IntegerType(), False))
-    arrow = to_arrow_schema(schema)
+    schema = schema.add(decoded, T.BinaryType()) if decoded else schema
     item = pa.list_(pa.field("element", pa.int32(), nullable=False))
+    arrow = _with(to_arrow_schema(schema), ids, item)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
@@ -127,14 +141,19 @@ def encode(
                 arrays = [encode_text(codec, t or "") for t in part[text].to_pylist()]
                 ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
                 flat = np.concatenate(arrays).astype(np.int32) if arrays else np.empty(0, np.int32)
-                column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), type=item)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part[c] for c in kept), column], schema=_with(arrow, ids, item)
-                )
+                columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), type=item)]
+                if decoded:
+                    columns.append(pa.array([_bytes(codec, x.tolist()) for x in arrays], type=pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), *columns], schema=arrow)
+        released()
 
     return df.mapInArrow(run, schema)
 
 
+def _bytes(codec: tiktoken.Encoding, ids: list[int] | None) -> bytes:
+    return codec.decode_bytes(ids) if ids else b""
+
+
 def decode(
     df: DataFrame, rank_file: str, pattern: str, ids: str = "ids", decoded: str = "decoded"
 ) -> DataFrame:
@@ -151,12 +170,10 @@ def decode(
         codec = _codec(shared.value, pattern)
         for batch in batches:
             for part in slices(batch, ids):
-                column = pa.array(
-                    [codec.decode_bytes(x) if x else b"" for x in part[ids].to_pylist()],
-                    type=pa.binary(),
-                )
+                column = pa.array([_bytes(codec, x) for x in part[ids].to_pylist()], type=pa.binary())
                 names = [*kept, decoded]
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in kept), column], names=names)
+        released()
 
     return df.mapInArrow(run, schema)
 

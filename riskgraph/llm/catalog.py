@@ -28,8 +28,7 @@ def query(function: Query) -> Query:
 @query
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, RANK_FILE, public_tokenizers.PATTERN).drop("text")
-    return bpe.token_digests(bpe.decode(ids, RANK_FILE, public_tokenizers.PATTERN))
+    return bpe.token_digests(bpe.round_trip(docs, RANK_FILE, public_tokenizers.PATTERN))
 
 
 @query

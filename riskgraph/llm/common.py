@@ -64,6 +64,11 @@ def unwrapped(df: DataFrame, columns: list[str], *named: str) -> DataFrame:
     return df.select(*kept, *named)
 
 
+def released() -> None:
+    """Hand freed Arrow memory back at the end of a task, so that waiting Python workers hold little."""
+    pa.default_memory_pool().release_unused()
+
+
 def pack_rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.llm.bpe import slices
-from riskgraph.llm.common import Words, chunks, gram_hashes, mix, saved, with_ids
+from riskgraph.llm.common import Words, chunks, gram_hashes, mix, released, saved, with_ids
 from riskgraph.operators.components import connected_components
 
 SHINGLE = 5
@@ -122,6 +122,7 @@ def _sets(docs: DataFrame) -> DataFrame:
         parts = [pack(split[i].tobytes()) for i in used]
         none = [None] * len(used)
         yield rows(none, none, none, none, none, used, parts)
+        released()
 
     tag = F.col("tag") if "tag" in docs.columns else F.lit(None)
     rows = docs.select(F.col("doc_id").cast("long"), "text", tag.cast("long").alias("tag"))
@@ -194,6 +195,7 @@ def _entries(docs: DataFrame, estimates: np.ndarray, blocks: int) -> DataFrame:
                     yield flush()
                     waiting, seen, total = [], set(), 0
         yield flush()
+        released()
 
     # Rows without an id are never linked.
     return docs.filter("doc_id is not null").select("text").mapInArrow(
@@ -366,6 +368,7 @@ def _links(docs: DataFrame, keys: DataFrame, sets: DataFrame, pairs: DataFrame)
                 if linked(common, len(pivot), len(s)):
                     good.append(j)
             yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+        released()
 
     return saved(sides.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long"))
 

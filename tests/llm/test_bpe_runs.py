@@ -52,3 +52,10 @@ def test_long_runs_in_a_table(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = bpe.decode(bpe.encode(frame, RANKS, PATTERN), RANKS, PATTERN).select("doc_id", "decoded").collect()
     assert {r["doc_id"]: bytes(r["decoded"]).decode() for r in rows} == dict(enumerate(t or "" for t in texts))
+
+
+def test_one_pass_equals_two(spark, docs):
+    two = bpe.decode(bpe.encode(docs, RANKS, PATTERN), RANKS, PATTERN)
+    one = bpe.round_trip(docs, RANKS, PATTERN)
+    assert one.columns == two.columns and sorted(one.collect(), key=str) == sorted(two.collect(), key=str)
+    assert bpe.round_trip(docs.limit(0), RANKS, PATTERN).count() == 0
