@@ -84,8 +84,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document and digests of ids and decoded bytes."""
-    ids = bpe.encode(docs.select("doc_id", "text"), RANK_FILE, public_tokenizers.PATTERN)
-    return bpe.token_digests(bpe.decode(ids.drop("text"), RANK_FILE, public_tokenizers.PATTERN))
+    texts = docs.select("doc_id", "text")
+    return bpe.token_digests(bpe.round_trip(texts, RANK_FILE, public_tokenizers.PATTERN))
 
 
 STAGES = [
