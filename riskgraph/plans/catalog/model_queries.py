@@ -167,6 +167,12 @@ def keyed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_row_key(clustered(spark, sf_dir), LINE_KEY).select("txn_key", "x")
 
 
+def fifteen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as ``txn_key, x`` in the fifteen standardised clustering features."""
+    features = fe.engineer_features(lines(spark, sf_dir), LINE_KEY)
+    return checkpointed(prepare_features(checkpointed(features), ["txn_key"]))
+
+
 @query("l5_kmeans")
 def l5(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = checkpointed(keyed_points(spark, sf_dir))
@@ -175,8 +181,7 @@ def l5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l7_dbscan")
 def l7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = checkpointed(keyed_points(spark, sf_dir))
-    return cm.outlier_flag(dbscan(points, eps=0.1, min_samples=20))
+    return cm.outlier_flag(dbscan(fifteen(spark, sf_dir), eps=0.5, min_samples=20))
 
 
 @query("l8_isolation_forest")
@@ -204,10 +209,11 @@ def l21(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l23_nearest_label")
 def l23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_row_key(clustered(spark, sf_dir), LINE_KEY).select("txn_key", "x", "cluster")
-    points = checkpointed(rows)
-    labeled = checkpointed(keyed_sample(points, ["txn_key"], 5000))
-    return nearest_label(points.select("txn_key", "x"), labeled, "txn_key", "txn_key", "cluster")
+    # Every second line, by a hash of its key, is labelled; all lines take the nearest label.
+    prices = with_row_key(clustered(spark, sf_dir), LINE_KEY).select("txn_key", "cluster")
+    points = fifteen(spark, sf_dir)
+    labeled = points.join(prices, "txn_key").filter(F.pmod(F.xxhash64("txn_key"), F.lit(2)) == 0)
+    return nearest_label(points, checkpointed(labeled), "txn_key", "txn_key", "cluster")
 
 
 def price_runs(spark: SparkSession, sf_dir: str, quick: bool = True) -> ex.Experiments:
@@ -260,10 +266,11 @@ def e18(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as ``txn_key, x, fraud_label`` with the top price cluster as label."""
+    """Lines as ``txn_key, x, fraud_label``: the fifteen features, the top price cluster as label."""
     rows = with_row_key(clustered(spark, sf_dir), LINE_KEY)
     label = (F.col("cluster") == 2).cast("int")
-    return rows.select("txn_key", *LINE_KEY, "x", label.alias("fraud_label"))
+    labels = rows.select("txn_key", *LINE_KEY, label.alias("fraud_label"))
+    return labels.join(fifteen(spark, sf_dir), "txn_key").select("txn_key", *LINE_KEY, "x", "fraud_label")
 
 
 @query("b4_smote")
