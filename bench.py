@@ -67,9 +67,9 @@ def main() -> None:
     features = checkpointed(engineer_features(lines(spark, SF_DIR), LINE_KEY))
     vectors = checkpointed(prepare_features(features, ["txn_key"]))
     fits = {
-        "fit_kmeans_k2": lambda: drain(kmeans(vectors, k=2, starts=1)),
+        "fit_kmeans_k2": lambda: drain(kmeans(vectors, k=2)),
         "fit_isolation_forest_100": lambda: drain(isolation_forest(vectors)),
-        "fit_gmm_2_full": lambda: drain(gaussian_mixture(vectors, k=2, starts=1)),
+        "fit_gmm_2_full": lambda: drain(gaussian_mixture(vectors, k=2)),
         "fit_gmm_2_diag": lambda: drain(gaussian_mixture(vectors, k=2, covariance="diag")),
         "silhouette_squared": lambda: cm.silhouette_squared(
             cm.minority_flag(vectors.join(kmeans(vectors, k=2, starts=1), "txn_key"))

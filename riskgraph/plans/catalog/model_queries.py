@@ -175,8 +175,7 @@ def fifteen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l5_kmeans")
 def l5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = checkpointed(keyed_points(spark, sf_dir))
-    return cm.minority_flag(kmeans(points, k=3))
+    return cm.minority_flag(kmeans(fifteen(spark, sf_dir), k=3))
 
 
 @query("l7_dbscan")
@@ -186,25 +185,22 @@ def l7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("l8_isolation_forest")
 def l8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = checkpointed(keyed_points(spark, sf_dir))
-    return cm.outlier_flag(isolation_forest(points))
+    return cm.outlier_flag(isolation_forest(fifteen(spark, sf_dir)))
 
 
 @query("l9_gmm_full")
 def l9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = checkpointed(keyed_points(spark, sf_dir))
-    return cm.minority_flag(gaussian_mixture(points, k=2))
+    return cm.minority_flag(gaussian_mixture(fifteen(spark, sf_dir), k=2))
 
 
 @query("l9_gmm_diagonal")
 def l9_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = checkpointed(keyed_points(spark, sf_dir))
-    return cm.minority_flag(gaussian_mixture(points, k=2, covariance="diag"))
+    return cm.minority_flag(gaussian_mixture(fifteen(spark, sf_dir), k=2, covariance="diag"))
 
 
 @query("l21_principal_components")
 def l21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return principal_components(keyed_points(spark, sf_dir))[0]
+    return principal_components(fifteen(spark, sf_dir))[0]
 
 
 @query("l23_nearest_label")
