@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -465,7 +467,8 @@ def p5_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = gr.materialize(graph(spark, sf_dir))
     vectors = pr.propagate(built, layers=2, family="sage", activate=True)
-    return vectors["customer"]
+    parts = [v.select("idx", "x", F.lit(kind).alias("node_type")) for kind, v in vectors.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 NORM_SQL = ", ".join(
