@@ -19,8 +19,9 @@ from riskgraph.operators.graph import (
 )
 from riskgraph.session import checkpointed
 
-# Model family names and their neighbour aggregation.
+# Model family names, their neighbour aggregation and number of layers.
 FAMILIES = {"sage": "mean", "gat": "attention", "gcn": "degree"}
+FAMILY_LAYERS = {"sage": 3, "gat": 2, "gcn": 2}
 NORM_EPSILON = 1e-5
 FEATURES = {"customer": CUSTOMER_FEATURES, "product": PRODUCT_FEATURES, "store": STORE_FEATURES}
 DIRECTED = [(a, r, b) for a, r, b, _ in RELATIONS] + [(b, r, a) for a, _, b, r in RELATIONS]

@@ -388,14 +388,7 @@ def x6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("x7_cross_validated_comparison")
 def x7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.cross_validate(
-        lines(spark, sf_dir),
-        LINE_KEY,
-        families=("sage",),
-        labelings=("quantile_95",),
-        folds=2,
-        layers=1,
-    )
+    return risk.cross_validate(lines(spark, sf_dir), LINE_KEY)
 
 
 # --- declared edge rules ----------------------------------------------------------------
