@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgraph.functions.expressions import flag
+from riskgraph.operators.keys import shuffled_row_number
 from riskgraph.operators.sampling import keyed_sample
 from riskgraph.operators.scaling import ml_vector
 from riskgraph.operators.small import broadcast_when_small
+from riskgraph.operators.tiles import distance_sums, worst_similarities
+from riskgraph.session import checkpointed
 
 # Fallbacks, score weights and bands.
 NO_SILHOUETTE, NO_DAVIES_BOULDIN, NO_CALINSKI = 0.0, 999.0, 0.0
@@ -28,7 +29,6 @@ BANDS = {
     "calinski_harabasz": (100, 50),
 }
 SILHOUETTE_SAMPLE = 10_000
-SILHOUETTE_SAMPLE_MAX = 50_000
 SUMMARY_COLUMNS = [
     "method", "composite_score", "silhouette", "davies_bouldin", "fraud_rate", "n_clusters",
     "fraud_count",
@@ -75,53 +75,28 @@ def centroid_metrics(
     """One row with Davies-Bouldin and Calinski-Harabasz.
 
     ``noise_label`` rows are left out; with one cluster, or no more than 100 rows left after
-    that, the fallback values stand.
+    that, the fallback values stand. Clusters are compared tile by tile, so their number may
+    grow with the table.
     """
     kept = df if noise_label is None else df.filter(F.col(cluster) != noise_label)
-    packed = cluster_spread(kept, x, cluster).agg(
-        F.collect_list(F.struct(cluster, "n", "centroid", "spread", "within")).alias("c")
-    )
-    c = F.col("c")
-    total = F.aggregate(c, F.lit(0).cast("long"), lambda acc, r: acc + r["n"])
-    count = F.size(c)
-
-    def similarity(a: Column, b: Column) -> Column:
-        apart = F.sqrt(squared_distance(a["centroid"], b["centroid"]))
-        ratio = F.when(apart == 0, 0.0).otherwise((a["spread"] + b["spread"]) / apart)
-        return F.when(a[cluster] != b[cluster], ratio)
-
-    worst = F.transform(c, lambda a: F.array_max(F.transform(c, lambda b: similarity(a, b))))
-    davies = F.aggregate(worst, F.lit(0.0), lambda acc, v: acc + v) / count
-    # Weighted mean of the centroids is the mean of all rows.
-    center = F.aggregate(
-        c,
-        F.transform(c[0]["centroid"], lambda _: F.lit(0.0)),
-        lambda acc, r: F.zip_with(acc, r["centroid"], lambda s, v: s + v * r["n"]),
-    )
-    mean = F.transform(center, lambda v: v / F.col("total"))
-    between = F.aggregate(
-        c,
-        F.lit(0.0),
-        lambda acc, r: acc + r["n"] * squared_distance(r["centroid"], F.col("mean")),
-    )
-    within = F.aggregate(c, F.lit(0.0), lambda acc, r: acc + r["within"])
-    calinski = F.when(F.col("within") == 0, 1.0).otherwise(
-        (F.col("between") * (F.col("total") - F.col("k")))
-        / (F.col("within") * (F.col("k") - 1))
-    )
-    valid = F.col("k") > 1
-    if noise_label is not None:
-        valid = valid & (F.col("total") > MIN_CLUSTERED_ROWS)
-    return (
-        packed.withColumn("total", total)
-        .withColumn("k", count)
-        .withColumn("mean", F.when(F.col("k") > 1, mean))
-        .withColumn("between", between)
-        .withColumn("within", within)
-        .select(
-            F.when(valid, davies).otherwise(NO_DAVIES_BOULDIN).alias("davies_bouldin"),
-            F.when(valid, calinski).otherwise(NO_CALINSKI).alias("calinski_harabasz"),
+    dims = _dims(kept, x)
+    spread = checkpointed(cluster_spread(kept, x, cluster, dims))
+    c = F.col("centroid")
+    k, total, within, *sums = spread.agg(
+        F.count(F.lit(1)), F.sum("n"), F.sum("within"), *[F.sum(F.col("n") * c[i]) for i in range(dims)]
+    ).first()
+    davies, calinski = NO_DAVIES_BOULDIN, NO_CALINSKI
+    if k > 1 and (noise_label is None or total > MIN_CLUSTERED_ROWS):
+        # Weighted mean of the centroids is the mean of all rows.
+        mean = F.array(*[F.lit(v / total) for v in sums])
+        between = spread.agg(F.sum(F.col("n") * squared_distance(c, mean))).first()[0]
+        calinski = 1.0 if within == 0 else (between * (total - k)) / (within * (k - 1))
+        placed = shuffled_row_number(spread, [cluster], name="place", rows=k).select(
+            "place", F.lit(0).alias("group"), F.concat(F.array("spread"), c).alias("x")
         )
+        davies = worst_similarities(placed, k).agg(F.avg("worst")).first()[0]
+    return df.sparkSession.createDataFrame(
+        [(davies, calinski)], "davies_bouldin double, calinski_harabasz double"
     )
 
 
@@ -147,54 +122,56 @@ def silhouette_rows(
     noise_label: int | None = None,
     seed: int = 42,
 ) -> DataFrame:
-    """Exact Euclidean silhouette of every row of a keyed sample.
+    """Exact Euclidean silhouette of every row of a keyed sample of any size.
 
-    The sample is bounded by its size, so it is shipped to all tasks; each task measures
-    its share of the rows against the whole sample.
+    Rows are laid out cluster by cluster in tiles; distances are summed tile against tile, one
+    figure per row and cluster met. The work grows with the square of the sample, its memory
+    does not. A cluster of one row has silhouette 0; fewer than two clusters give no rows.
     """
-    if sample_size > SILHOUETTE_SAMPLE_MAX:
-        raise ValueError(f"sample_size must not exceed {SILHOUETTE_SAMPLE_MAX}")
     spark = df.sparkSession
     narrow = df.select(*keys, cluster, x)
-    chosen = keyed_sample(narrow, keys, sample_size, seed)
-    local = chosen.toPandas()
-    if noise_label is not None and (local[cluster] == noise_label).any():
-        local = local[local[cluster] != noise_label]
-        if len(local) <= MIN_CLUSTERED_ROWS:
-            local = local.iloc[:0]
+    chosen = checkpointed(keyed_sample(narrow, keys, sample_size, seed))
     schema = T.StructType([*narrow.schema.fields, T.StructField("silhouette", T.DoubleType())])
-    if local[cluster].nunique() < 2:
+    if noise_label is not None and chosen.filter(F.col(cluster) == noise_label).limit(1).count():
+        chosen = chosen.filter(F.col(cluster) != noise_label)
+        if chosen.count() <= MIN_CLUSTERED_ROWS:
+            return spark.createDataFrame([], schema)
+    # One row per cluster: its size, its number, and the place of its first row.
+    order = Window.orderBy("_c")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = checkpointed(
+        chosen.groupBy(F.col(cluster).alias("_c"))
+        .agg(F.count(F.lit(1)).alias("_size"))
+        .withColumn("_group", F.row_number().over(order).cast("long"))
+        .withColumn("_first", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+    )
+    clusters, rows = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    if clusters < 2:
         return spark.createDataFrame([], schema)
-    points = np.array(local[x].tolist(), dtype=float)
-    names, codes = np.unique(local[cluster].to_numpy(), return_inverse=True)
-    shared = spark.sparkContext.broadcast((points, codes, names))
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        refs, ref_codes, ref_names = shared.value
-        member = np.eye(len(ref_names))[ref_codes]
-        sizes = member.sum(axis=0)
-        for batch in batches:
-            for start in range(0, len(batch), 512):
-                part = batch.iloc[start : start + 512]
-                own = np.searchsorted(ref_names, part[cluster].to_numpy())
-                at = np.array(part[x].tolist(), dtype=float)
-                square = np.zeros((len(part), len(refs)))
-                for d in range(refs.shape[1]):
-                    square += (at[:, d, None] - refs[None, :, d]) ** 2
-                sums = np.sqrt(square) @ member
-                line = np.arange(len(part))
-                inner = sums[line, own] / np.maximum(sizes[own] - 1, 1)
-                mean = sums / sizes
-                mean[line, own] = np.inf
-                outer = mean.min(axis=1)
-                top = np.maximum(inner, outer)
-                value = np.where(top > 0, (outer - inner) / np.where(top > 0, top, 1), 0.0)
-                value[sizes[own] == 1] = 0.0
-                yield part.assign(silhouette=value)
-
-    tasks = max(1, min(spark.sparkContext.defaultParallelism, len(local) // 512 + 1))
-    rows = spark.createDataFrame(local, narrow.schema).repartition(tasks)
-    return rows.mapInPandas(measure, schema)
+    small = broadcast_when_small(sizes)
+    numbered = shuffled_row_number(chosen, keys, seed, "_rn", within=[cluster], rows=rows)
+    placed = checkpointed(
+        numbered.join(small, F.col(cluster).eqNullSafe(F.col("_c")))
+        .withColumn("_place", F.col("_first") + F.col("_rn"))
+        .drop("_rn", "_first", "_c")
+    )
+    points = placed.select(
+        F.col("_place").alias("place"), F.col("_group").alias("group"), F.col(x).alias("x")
+    )
+    other = sizes.select(F.col("_group").alias("group"), F.col("_size").alias("size"))
+    sums = distance_sums(points, rows).withColumnRenamed("place", "_place")
+    met = sums.join(broadcast_when_small(other), "group").join(
+        placed.select("_place", "_group"), "_place"
+    )
+    own = F.col("group") == F.col("_group")
+    figures = met.groupBy("_place").agg(
+        F.max(F.when(own, F.col("total"))).alias("_own"),
+        F.min(F.when(~own, F.col("total") / F.col("size"))).alias("_outer"),
+    )
+    inner = F.col("_own") / F.greatest(F.col("_size") - 1, F.lit(1))
+    top = F.greatest(inner, F.col("_outer"))
+    value = F.when((F.col("_size") == 1) | (top <= 0), 0.0).otherwise((F.col("_outer") - inner) / top)
+    return placed.join(figures, "_place").select(*narrow.columns, value.alias("silhouette"))
 
 
 def silhouette_summary(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
