@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import ratio_or_zero
-from riskgraph.operators.quantiles import bucket_of, cumulative, range_bounds
+from riskgraph.operators.quantiles import BUCKET_ROWS, cumulative, with_ordered_bucket
 
 # Cut-offs of the top-k precision.
 TOP_K = (100, 500, 1000)
-SCORE_BUCKETS = 64
 MEASURES = ["f1", "recall", "precision", "auc"]
 
 
@@ -45,15 +44,17 @@ def rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def score_table(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+def score_table(
+    df: DataFrame, label: str, score: str, by: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS
+) -> DataFrame:
     """Positives and negatives per distinct score, with the counts up to that score."""
     counts = df.groupBy(*by, F.col(score).alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    _, cuts = range_bounds(counts, "score", SCORE_BUCKETS)
-    bucket = bucket_of(F.col("score"), cuts)
+    _, placed = with_ordered_bucket(counts, "score", bucket_rows)
     totals = {"pos_upto": "pos", "neg_upto": "neg"}
-    return cumulative(counts, [F.col("score")], bucket, totals, by)
+    summed = cumulative(placed, [F.col("score")], F.col("_ordered"), totals, by)
+    return summed.drop("_ordered")
 
 
 def roc_auc(

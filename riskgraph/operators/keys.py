@@ -8,14 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import hash_text
-from riskgraph.operators.quantiles import bucket_of, cumulative, range_bounds
+from riskgraph.operators.quantiles import cumulative, with_ordered_bucket
 
 COPIES_PER_BLOCK = 100_000
 # Hash buckets for ranks: 4,096 up to a few billion rows, a million beyond.
 HASH_PREFIX, WIDE_HASH_PREFIX = 3, 5
 WIDE_ROWS = 4_000_000_000
-RANGE_BUCKETS = 128
-# So few distinct ids are numbered in one task.
+# Distinct ids numbered in one task.
 SMALL_IDS = 100_000
 
 
@@ -94,11 +93,11 @@ def shuffled_row_number(
 def dense_ids(df: DataFrame, key: str, name: str = "idx") -> DataFrame:
     """``key -> 0..n-1`` over the distinct values, in the order of the key."""
     distinct = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    count, cuts = range_bounds(distinct, key, RANGE_BUCKETS)
+    count, placed = with_ordered_bucket(distinct, key, SMALL_IDS)
     if count <= SMALL_IDS:
         numbered = distinct.withColumn(name, F.row_number().over(Window.orderBy(key)) - 1)
     else:
-        numbered = global_row_number(distinct, [F.col(key)], bucket_of(F.col(key), cuts), name)
+        numbered = global_row_number(placed, [F.col(key)], F.col("_ordered"), name)
     return numbered.select(key, F.col(name).cast("long").alias(name))
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.functions.expressions import numeric_columns
-from riskgraph.operators.quantiles import exact_quantiles
+from riskgraph.operators.quantiles import nan_as_null, quantiles_and
 
 ENTITY_COLUMNS = {"customers": "cust_id", "products": "product_code", "stores": "store_code"}
 
 
 def table_info(df: DataFrame) -> DataFrame:
-    """One row: size, date range, distinct entities, null count and type per column."""
+    """One row: size, date range, distinct entities, null count and type per column; NaN is null."""
+    df = nan_as_null(df, df.columns)
     has = set(df.columns)
     figures = [F.count(F.lit(1)).alias("rows")]
     figures += [F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in df.columns]
@@ -42,42 +43,38 @@ def table_info(df: DataFrame) -> DataFrame:
     )
 
 
-def _long_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    pairs = F.array(
-        *[
-            F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-            for c in columns
-        ]
-    )
-    return df.select(F.inline(pairs))
-
-
 def describe_numeric(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Count, mean, std, min, quartiles and max, one row per numeric column."""
+    """Count, mean, std, min, quartiles and max, one row per numeric column; NaN is missing."""
     columns = columns or numeric_columns(df)
-    cuts = exact_quantiles(df, {c: [0.25, 0.5, 0.75] for c in columns})
-    quartiles = df.sparkSession.createDataFrame(
-        [(c, *[cuts[c][q] for q in (0.25, 0.5, 0.75)]) for c in columns],
-        "column string, p25 double, p50 double, p75 double",
-    )
-    moments = (
-        _long_numeric(df, columns)
-        .groupBy("column")
-        .agg(
-            F.count("value").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
+    marks = (0.25, 0.5, 0.75)
+    figures = {}
+    for i, c in enumerate(columns):
+        value = F.col(c).cast("double")
+        figures |= {
+            f"_mean{i}": F.avg(value),
+            f"_std{i}": F.stddev_samp(value),
+            f"_min{i}": F.min(value),
+            f"_max{i}": F.max(value),
+            f"_count{i}": F.count(value),
+        }
+    cuts, found = quantiles_and(df, {c: marks for c in columns}, figures)
+    rows = [
+        (
+            c, found[f"_count{i}"], found[f"_mean{i}"], found[f"_std{i}"], found[f"_min{i}"],
+            *[cuts[c][q] for q in marks], found[f"_max{i}"],
         )
-    )
-    return moments.join(F.broadcast(quartiles), "column").select(
-        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max"
+        for i, c in enumerate(columns)
+    ]
+    return df.sparkSession.createDataFrame(
+        rows,
+        "column string, count long, mean double, std double, min double, p25 double, p50 double,"
+        " p75 double, max double",
     )
 
 
 def missing_values(df: DataFrame) -> DataFrame:
-    """Missing count and percentage per column."""
+    """Missing count and percentage per column; NaN is missing."""
+    df = nan_as_null(df, df.columns)
     counted = df.agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns],

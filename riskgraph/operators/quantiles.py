@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph.operators.small import broadcast_when_small
+from riskgraph.session import checkpointed
 
 ACCURACY = 10_000
 BRACKET_LIMIT = 200_000
-MAX_ROUNDS = 8
+# Distinct values ordered in one task; cut points of the first level, and of each cell below it.
+BUCKET_ROWS = 100_000
+TOP_BUCKETS, SUB_BUCKETS = 64, 4_096
+_STRIDE = 64
 
 
 @dataclass
@@ -39,21 +43,50 @@ def exact_quantiles(
     """Linearly interpolated quantiles, equal to sorting every column in full.
 
     Mergeable sketches bracket each quantile, one counting scan places the bracket, and
-    only values inside it are ordered. Rounds repeat while a bracket holds more than
-    ``limit`` rows, so neither a task nor the driver meets the whole column.
+    only values inside it are ordered. Rounds repeat while a bracket of more than ``limit``
+    rows still shrinks; one that does not is ordered in buckets, so neither a task nor the
+    driver meets the whole column. Null and NaN are left out.
     """
+    return quantiles_and(df, wanted, {}, limit)[0]
+
+
+def quantiles_and(
+    df: DataFrame,
+    wanted: Mapping[str, Sequence[float]],
+    figures: Mapping[str, Column],
+    limit: int = BRACKET_LIMIT,
+) -> tuple[dict[str, dict[float, float]], dict[str, object]]:
+    """``exact_quantiles`` and other aggregates, which ride on the pass that counts and sketches."""
     columns = list(wanted)
-    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    df = nan_as_null(df, columns)
     brackets = [_Bracket(c, q) for c in columns for q in wanted[c]]
+    # The ranks are not known yet, so the first marks leave room for rounding them down.
+    step = 3.0 / ACCURACY
+    sketches = [
+        F.percentile_approx(
+            c, [m for q in wanted[c] for m in (max(0.0, q - step), min(1.0, q + step))], ACCURACY
+        ).alias(f"_s{i}")
+        for i, c in enumerate(columns)
+        if len(wanted[c])
+    ]
+    first = df.agg(
+        *[F.count(c).alias(f"_n{i}") for i, c in enumerate(columns)],
+        *sketches,
+        *[expr.alias(name) for name, expr in figures.items()],
+    ).first()
+    counts = {c: first[f"_n{i}"] for i, c in enumerate(columns)}
+    guess = {}
     for b in brackets:
         b.inside = counts[b.column]
         b.rank = math.floor(max(b.inside - 1, 0) * b.q)
+        if b.inside:
+            at = list(wanted[b.column]).index(b.q)
+            guess[id(b)] = first[f"_s{columns.index(b.column)}"][2 * at : 2 * at + 2]
     live = [b for b in brackets if b.inside > 0]
-    for _ in range(MAX_ROUNDS):
-        wide = [b for b in live if b.inside > limit and (b.low is None or b.low < b.high)]
-        if not _narrow(df, wide):
-            break
-    found = _order_statistics(df, live)
+    _place(df, [b for b in live if b.inside > limit], guess)
+    while _narrow(df, [b for b in live if b.inside > limit and (b.low is None or b.low < b.high)]):
+        pass
+    found = _order_statistics(df, live, limit)
     out: dict[str, dict[float, float]] = {c: {} for c in columns}
     for i, b in enumerate(brackets):
         value = None
@@ -62,7 +95,14 @@ def exact_quantiles(
             share = (counts[b.column] - 1) * b.q - b.rank
             value = lower + (upper - lower) * share
         out[b.column][b.q] = value
-    return out
+    return out, {name: first[name] for name in figures}
+
+
+def nan_as_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """NaN of floating-point columns counts as missing."""
+    types = dict(df.dtypes)
+    floats = [c for c in columns if types[c] in ("double", "float")]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
 
 
 def _narrow(df: DataFrame, wide: list[_Bracket]) -> bool:
@@ -88,6 +128,13 @@ def _narrow(df: DataFrame, wide: list[_Bracket]) -> bool:
         for g, group in enumerate(ranges.values())
         for i, b in enumerate(group)
     }
+    return _place(df, wide, guess)
+
+
+def _place(df: DataFrame, wide: list[_Bracket], guess: Mapping[int, Sequence[float]]) -> bool:
+    """Count below and inside the guessed ranges and take those that hold their rank."""
+    if not wide:
+        return False
     placed = df.agg(
         *[
             expr
@@ -109,7 +156,9 @@ def _narrow(df: DataFrame, wide: list[_Bracket]) -> bool:
     return changed
 
 
-def _order_statistics(df: DataFrame, live: list[_Bracket]) -> dict[int, tuple[float, float]]:
+def _order_statistics(
+    df: DataFrame, live: list[_Bracket], limit: int = BRACKET_LIMIT
+) -> dict[int, tuple[float, float]]:
     """Values at rank and rank + 1 of every bracket."""
     if not live:
         return {}
@@ -128,10 +177,16 @@ def _order_statistics(df: DataFrame, live: list[_Bracket]) -> dict[int, tuple[fl
     offset = F.element_at(
         F.array(*[F.lit(b.rank - b.below) for b in live]), F.col("target") + 1
     )
-    order = Window.partitionBy("target").orderBy("value")
-    upto = F.sum("count").over(order)
+    if all(b.inside <= limit or (b.low is not None and b.low == b.high) for b in live):
+        order = Window.partitionBy("target").orderBy("value")
+        running = values.withColumn("upto", F.sum("count").over(order))
+    else:
+        # A bracket that sketches cannot narrow further.
+        _, values = with_ordered_bucket(checkpointed(values), "value", limit)
+        totals = {"upto": "count"}
+        running = cumulative(values, [F.col("value")], F.col("_ordered"), totals, ["target"])
     hits = (
-        values.withColumn("upto", upto)
+        running
         .withColumn("offset", offset)
         .filter(
             (F.col("upto") > F.col("offset"))
@@ -160,6 +215,38 @@ def range_bounds(df: DataFrame, column: str, buckets: int) -> tuple[int, list[fl
     return count, sorted(set(cuts or []))
 
 
+def with_ordered_bucket(
+    df: DataFrame, column: str, bucket_rows: int = BUCKET_ROWS, name: str = "_ordered"
+) -> tuple[int, DataFrame]:
+    """Row count, and an order-preserving bucket of about ``bucket_rows`` rows if values rarely repeat.
+
+    The first level has at most 64 cut points, sketched over the table; cells of the second
+    level are cut by a sketch per first-level cell, into as many parts as the row count asks
+    for. The second level's frame has 65 rows of at most 4,096 numbers, so it is broadcast.
+    """
+    count, cuts = range_bounds(df, column, TOP_BUCKETS)
+    if count <= bucket_rows:
+        return count, df.withColumn(name, F.lit(0).cast("long"))
+    parts = min(SUB_BUCKETS, math.ceil(count / TOP_BUCKETS / bucket_rows))
+    value = F.col(column)
+    staged = df.withColumn("_top", bucket_of(value, cuts).cast("long"))
+    if parts <= 1:
+        return count, staged.withColumnRenamed("_top", name)
+    marks = [i / parts for i in range(1, parts)]
+    subs = staged.groupBy("_top").agg(F.percentile_approx(column, marks, ACCURACY).alias("_cuts"))
+    # Every 64th cut first, then the 64 cuts that follow the last of those met.
+    strides = F.filter("_cuts", lambda _, i: i % _STRIDE == _STRIDE - 1)
+    met = F.size(F.filter("_strides", lambda p: p <= value)) * _STRIDE
+    rest = F.slice("_cuts", F.col("_met") + 1, F.lit(_STRIDE))
+    sub = F.col("_met") + F.size(F.filter(rest, lambda p: p <= value))
+    return count, (
+        staged.join(F.broadcast(subs.withColumn("_strides", strides)), "_top")
+        .withColumn("_met", F.when(F.col("_cuts").isNull(), 0).otherwise(met))
+        .withColumn(name, F.col("_top") * SUB_BUCKETS + F.when(F.col("_cuts").isNull(), 0).otherwise(sub))
+        .drop("_top", "_cuts", "_strides", "_met")
+    )
+
+
 def bucket_of(value: Column, cuts: Sequence[float]) -> Column:
     """Number of cut points at or below the value: an order-preserving bucket."""
     if not cuts:
