@@ -21,6 +21,7 @@ from riskgraph.plans.catalog.base import (
     with_lines,
 )
 from riskgraph.plans.catalog.feature_queries import FEATURE_CTES
+from riskgraph.session import checkpointed
 
 CUTS_CTE = (
     "cuts as (select quantile_cont(discounted_total_price,0.99) as q99,"
@@ -80,7 +81,9 @@ def l3(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def l4(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = fe.engineer_features(lines(spark, sf_dir), LINE_KEY)
-    scaled = standardize(features.select(*LINE_KEY, *CLUSTERING_FEATURES), CLUSTERING_FEATURES)
+    # Moments and rows read the same features: they are computed and written once.
+    narrow = checkpointed(features.select(*LINE_KEY, *CLUSTERING_FEATURES))
+    scaled = standardize(narrow, CLUSTERING_FEATURES)
     return rounded(scaled, CLUSTERING_FEATURES)
 
 
