@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskgraph.operators import graph as gr
 from riskgraph.operators.features import customer_aggregates, product_aggregates
 from riskgraph.operators.graph import store_nodes
 from riskgraph.plans import risk
@@ -71,3 +72,59 @@ def test_distinct_counts_do_not_carry_other_figures(spark):
     assert {
         r["store_code"]: (r["unique_customers"], r["unique_products"]) for r in stores.collect()
     } == {1: (1, 2), 2: (1, 1), None: (2, 1)}
+
+
+PAIRED = [
+    (1, 1, 1, 2.0), (1, 1, 2, 3.0), (1, None, 2, 4.0), (2, 0, 3, 5.0), (None, 3, 1, 6.0),
+    (1, 2, None, 7.0), (2, 1, 1, 8.0), (2, 1, 1, 9.0), (0, 4, 1, 1.0),
+]
+
+
+def _paired(spark):
+    return spark.createDataFrame(
+        PAIRED, "cust_id long, product_code long, store_code int, total_price double"
+    ).withColumns(
+        {
+            "txn_key": F.concat_ws("-", "cust_id", "product_code", "total_price"),
+            "fraud_label": (F.col("total_price") > 8).cast("int"),
+            "first": (F.col("total_price") < 3).cast("int"),
+            "amount": F.lit(1), "has_discount": F.lit(0), "has_campaign": F.lit(1),
+            "effective_price": F.col("total_price"),
+            "trans_date": F.timestamp_seconds(F.lit(1714557600)),
+        }
+    )
+
+
+def _figured(spark):
+    df = _paired(spark)
+    joined = df.join(customer_aggregates(df), "cust_id", "left")
+    return gr.checkpointed(joined.join(product_aggregates(df), "product_code", "left"))
+
+
+def _set(df, *columns):
+    return sorted(map(str, df.select(*columns).collect()))
+
+
+def test_figures_and_edges_from_shared_pairs(spark):
+    df = _paired(spark)
+    pairs = gr.line_pairs(df)
+    rows, known = gr.valid_lines(df), gr.valid_pairs(pairs)
+    for build in (customer_aggregates, product_aggregates):
+        assert _set(build(df, pairs), "*") == _set(build(df), "*")
+    assert _set(store_nodes(rows, known), "*") == _set(store_nodes(rows), "*")
+    ids = gr.node_id_maps(rows)
+    assert _set(gr.build_edges(rows, ids, known), "*") == _set(gr.build_edges(rows, ids), "*")
+
+
+def test_graph_pairs_and_edges_are_written_once(spark, monkeypatch):
+    built = gr.build_graph(_figured(spark))
+    plan = built.edges._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    sizes = []
+    write = gr.checkpointed
+    monkeypatch.setattr(gr, "checkpointed", lambda df: sizes.append(df.count()) or write(df))
+    kept = gr.materialize(built)
+    columns = ["src_type", "rel", "dst_type", "src_idx", "dst_idx", "n"]
+    assert kept.edges.columns == built.edges.columns == columns
+    assert _set(kept.edges, *columns) == _set(built.edges, *columns)
+    assert built.edges.count() // 2 in sizes and built.edges.count() not in sizes
