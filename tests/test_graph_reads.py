@@ -128,3 +128,14 @@ def test_graph_pairs_and_edges_are_written_once(spark, monkeypatch):
     assert kept.edges.columns == built.edges.columns == columns
     assert _set(kept.edges, *columns) == _set(built.edges, *columns)
     assert built.edges.count() // 2 in sizes and built.edges.count() not in sizes
+
+
+def test_labellings_meet_the_lines_once(spark):
+    df = _figured(spark)
+    built = gr.materialize(gr.build_graph(df))
+    found = gr.relabel_all(built, df, ["first", "fraud_label"])
+    for name, wanted in {"first": {1: 1, 2: 0}, "fraud_label": {1: 0, 2: 1}}.items():
+        nodes = found[name].nodes["customer"]
+        assert {r["cust_id"]: r["y"] for r in nodes.collect()} == wanted
+        assert str(built.mapping.inputFiles()[0]) not in nodes.inputFiles()
+        assert found[name].mapping.count() == built.mapping.count()
