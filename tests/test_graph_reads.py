@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskgraph.operators import graph as gr
-from riskgraph.operators.features import customer_aggregates, product_aggregates
+from riskgraph.operators.features import (
+    customer_aggregates,
+    engineer_features,
+    product_aggregates,
+    purchase_moments,
+)
 from riskgraph.operators.graph import store_nodes
 from riskgraph.plans import risk
+from riskgraph.plans.catalog import graph_queries as gq
+from riskgraph.plans.catalog import model_queries as mq
 from riskgraph.plans.catalog.graph_queries import graph
 
 LINES = [
@@ -139,3 +146,73 @@ def test_labellings_meet_the_lines_once(spark):
         assert {r["cust_id"]: r["y"] for r in nodes.collect()} == wanted
         assert str(built.mapping.inputFiles()[0]) not in nodes.inputFiles()
         assert found[name].mapping.count() == built.mapping.count()
+
+
+def _tables(spark, tmp_path):
+    spark.range(60).selectExpr(
+        "id div 3 as l_orderkey", "cast(id % 3 as int) as l_linenumber", "id % 4 + 1 as l_suppkey",
+        "id % 5 + 1 as l_partkey", "double(id % 7 + 1) as l_quantity",
+        "10.0d + id as l_extendedprice", "0.1d as l_discount", "0.1d as l_tax",
+        "'A' as l_returnflag",
+    ).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.range(20).selectExpr(
+        "id as o_orderkey", "id % 6 + 1 as o_custkey",
+        "timestamp_seconds(1714557600 + 86400 * id) as o_orderdate",
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    return str(tmp_path)
+
+
+def _text(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_figures_without_gaps_do_not_look_back(spark):
+    features = engineer_features(spark.range(40).selectExpr(*LINES), ["trans_id"])
+    assert "_day" in _text(features.select("time_since_last_trans"))
+    assert "_day" in _text(features.select("same_product_time_gap"))
+    assert "_day" not in _text(features.select("customer_total_spending", "product_popularity"))
+
+
+def test_moments_leave_out_missing_keys(spark):
+    df = spark.sql(
+        "select * from values (1L, 'a', 10), (1L, 'b', 20), (1L, 'c', 90020), (null, 'd', 30),"
+        " (2L, 'e', null) as t(cust_id, txn_key, at)"
+    ).withColumn("trans_date", F.timestamp_seconds("at"))
+    found = purchase_moments(df, ["cust_id"]).select("cust_id", "_carrier", "_previous").collect()
+    assert sorted(tuple(r) for r in found if r["_carrier"] != "a") == [
+        (1, "b", 10_000_000), (1, "c", 20_000_000), (2, "e", None),
+    ]
+    assert [tuple(r) for r in found if r["_carrier"] == "a"] == [(1, "a", None)]
+
+
+def test_flagship_writes_no_line_keys(spark, monkeypatch):
+    seen = []
+    build = risk.build_graph
+    monkeypatch.setattr(risk, "build_graph", lambda df: seen.append(df) or build(df))
+    assert risk.flagship_report(spark.range(40).selectExpr(*LINES), ["trans_id"]).count() == 4
+    assert not {"txn_key", "trans_id"} & set(seen[0].columns)
+
+
+def test_mapping_is_written_only_for_its_readers(spark, tmp_path, monkeypatch):
+    path = _tables(spark, tmp_path)
+    written = []
+    write = gr.checkpointed
+    monkeypatch.setattr(gr, "checkpointed", lambda df: written.append(df.columns) or write(df))
+    _, vectors = gq.count_graph(spark, path)
+    assert {kind: v.count() for kind, v in vectors.items()} == {
+        "customer": 6, "product": 5, "store": 4,
+    }
+    assert not [c for c in written if "customer_idx" in c]
+    lazy = gr.materialize(graph(spark, path), mapping=False).mapping
+    assert _set(lazy, "*") == _set(gr.materialize(graph(spark, path)).mapping, "*")
+
+
+def test_fit_of_scoring_carries_no_line_key(spark, tmp_path):
+    path = _tables(spark, tmp_path)
+    built, _, rows = mq.line_vectors(spark, path, key=())
+    assert rows.columns == ["fraud_label", "x"] and rows.count() == 60
+    assert sorted(built.mapping.columns) == [
+        "customer_idx", "fraud_label", "product_idx", "store_idx",
+    ]
+    keyed = mq.line_vectors(spark, path)[2]
+    assert _set(rows, "*") == _set(keyed.select("fraud_label", "x"), "*")
